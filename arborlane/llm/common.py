@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborlane.session import ship
+
 #: A row set below this many rows may be broadcast: the rows are narrow (at most
 #: a few dozen bytes), so the broadcast stays under some 32 MB at every input size.
 BROADCAST_ROWS = 500_000
@@ -22,7 +24,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
