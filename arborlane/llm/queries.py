@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlane.llm import exact_dedup, mixing, quality_rules, substring_dedup, url_filters
+from arborlane.llm import exact_dedup, mixing, ngram_join, quality_rules, substring_dedup, url_filters
 from arborlane.llm.common import table
 
 
@@ -12,6 +12,7 @@ def _on(name, f):
 
 QUERIES = {
     "op1_mixing": _on("documents", mixing.query),
+    "op2_ngram_join": _on("documents", ngram_join.query),
     "op3_url_filters": _on("pages", url_filters.query),
     "op8_quality_rules": _on("documents", quality_rules.query),
     "op9_exact_dedup": _on("documents", exact_dedup.query),
