@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlane.llm import exact_dedup, language_model, mixing, ngram_join, quality_rules, substring_dedup, url_filters
+from arborlane.llm import bpe, exact_dedup, language_model, mixing, ngram_join, quality_rules, substring_dedup, url_filters
 from arborlane.llm.common import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_ngram_join": _on("documents", ngram_join.query),
     "op3_url_filters": _on("pages", url_filters.query),
     "op4_language_model": _on("documents", language_model.query),
+    "op5_bpe": _on("documents", bpe.query),
     "op8_quality_rules": _on("documents", quality_rules.query),
     "op9_exact_dedup": _on("documents", exact_dedup.query),
     "op10_substring_dedup": _on("documents", substring_dedup.query),
