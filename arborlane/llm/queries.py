@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlane.llm import bpe, exact_dedup, language_model, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, url_filters
+from arborlane.llm import bpe, exact_dedup, language_model, mixing, ngram_join, private_data, quality_classifier, quality_rules, substring_dedup, url_filters
 from arborlane.llm.common import table
 
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_url_filters": _on("pages", url_filters.query),
     "op4_language_model": _on("documents", language_model.query),
     "op5_bpe": _on("documents", bpe.query),
+    "op6_private_data": _on("documents", private_data.query),
     "op7_quality_classifier": lambda spark, sf_dir: quality_classifier.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_quality_rules": _on("documents", quality_rules.query),
     "op9_exact_dedup": _on("documents", exact_dedup.query),
