@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from arborlane.plans import registry
+
+GROUPS = ("graph_queries",)
+
+for _group in GROUPS:
+    importlib.import_module(f"arborlane.plans.{_group}")
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return registry.QUERIES["graph_rdeps_kinds"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracles():
-    return {}
+    return dict(registry.ORACLES)
