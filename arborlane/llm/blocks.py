@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlane.llm.common import checkpointed, partitions, small_batches
+from arborlane.llm.common import dealt, partitions, release, small_batches
 
 #: A block closes at this many bytes of text or documents; one document is never split.
 BLOCK_BYTES, BLOCK_DOCS = 1_500_000, 2_000
@@ -82,7 +82,7 @@ def _make(lower: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
         def closed() -> pa.RecordBatch:
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            row = (number, len(flat), list(ids), packed(np.array(lens, np.int32)), zstandard.compress(b"\n".join(vocabulary), 1), packed(flat.astype(np.int32)))
+            row = (number, len(flat), list(ids), packed(np.array(lens, np.int32)), zstandard.compress(b"\n".join(vocabulary), 1), packed(flat.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.int32)))
             ids.clear(), lens.clear(), vocabulary.clear(), codes.clear()
             return batch(BLOCK, [row])
 
@@ -108,12 +108,16 @@ def token_blocks(docs: DataFrame, lower: bool, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     with small_batches(spark):
         made = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_make(lower), BLOCK)
-        return checkpointed(made.repartition(partitions(spark), "block"))
+        out = dealt(made, "block")
+    release(spark)
+    return out
 
 
 def read_block(row: dict) -> Block:
-    words = zstandard.decompress(row["words"])
-    return Block(row["block"], row["ids"], unpacked(row["lens"], np.int32), words.split(b"\n") if words else [], unpacked(row["codes"], np.int32))
+    joined = zstandard.decompress(row["words"])
+    words = joined.split(b"\n") if joined else []
+    codes = unpacked(row["codes"], np.uint16 if len(words) <= 1 << 16 else np.int32).astype(np.int32)
+    return Block(row["block"], row["ids"], unpacked(row["lens"], np.int32), words, codes)
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -163,10 +167,11 @@ def asks(block: int, keys: np.ndarray, count: np.ndarray, low: np.ndarray, bucke
     return [(block, int(at[i]), keys[i:j].tobytes(), count[i:j].tobytes(), low[i:j].tobytes()) for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)])))]
 
 
-def totals(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def totals(t: pa.Table, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the asks of one bucket: distinct keys, their counts and lows, then for each
     key sent the index of its key, and the numbers of keys of the asks."""
-    keys, count, low = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("count", np.uint32), ("low", np.int64)))
+    keys, count, sent = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("count", np.uint32), ("low", np.int64)))
+    low = sent if low is None else low
     sizes = np.array([len(b) // 8 for b in t.column("keys").to_pylist()])
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))

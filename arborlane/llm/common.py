@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """df dealt by a key and checkpointed so that Spark still knows how it is dealt:
+    what then groups or joins by the key does not move df again. (The plan of an
+    adaptive query no longer says so, hence the setting.)"""
+    spark = df.sparkSession
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        return checkpointed(df.repartition(n or partitions(spark), key))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any
+    more, between the phases of an operator with large intermediate results."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf):
     """Session settings for the jobs run inside the block, then put back."""

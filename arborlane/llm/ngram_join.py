@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm import blocks as B
-from arborlane.llm.common import BROADCAST_ROWS, checkpointed, join_hot, partitions
+from arborlane.llm.common import BROADCAST_ROWS, checkpointed, dealt, join_hot, release
 from arborlane.llm.graph import components
 
 SHINGLE = 5
@@ -406,7 +406,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = B.each_block(blocks, _ask_first(buckets), B.ASK)
     kept = B.with_answers(blocks, B.answers(first), _survivors, SETS)
     kept = kept.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    packs = checkpointed(kept.mapInArrow(_pack, PACK).repartition(partitions(spark), "block"))
+    packs = dealt(kept.mapInArrow(_pack, PACK), "block")
+    del first, kept
+    release(spark)
     many = packs.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = B.buckets_for(many // 8, spark)
     rarity = B.answers(B.each_block(packs, _ask_all(buckets), B.ASK))
@@ -417,6 +419,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     centre = sent.filter("bucket = -2").groupBy("block").applyInArrow(_centre, "set long, central double")
     flat = B.each_block(packs, lambda row: [(name, len(s), s.tobytes()) for name, s in zip(row["sets"], _unpack(row))], SETS)
     named = regions.select(F.col("node").alias("set"), F.col("root").alias("region")).join(centre, "set")
+    release(spark)
     rows = checkpointed(flat.join(named, "set").select("region", "set", "n", "keys", "central"))
     links = checkpointed(_links(rows))
     roots = components(links).select(F.col("node").alias("set"), "root")

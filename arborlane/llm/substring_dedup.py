@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm import blocks as B
-from arborlane.llm.common import checkpointed
+from arborlane.llm.common import dealt, release
 
 WINDOW = 50
 ROUNDS = 9
@@ -132,6 +132,9 @@ def _ids(x: B.Block) -> np.ndarray:
 
 def _once(key: np.ndarray, who: np.ndarray):
     """Distinct keys, the number of documents that have each, and the smallest of them."""
+    if len(key):  # neighbours are often equal
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])))
+        key, who = key[new], who[new]
     order = np.lexsort((who, key))
     key, who = key[order], who[order]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
@@ -216,8 +219,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     blocks = B.token_blocks(docs, False, doc_id, text)
     n = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = B.buckets_for(n // 8, spark)
-    asked = B.each_block(blocks.select(*blocks.columns), _ask_anchors(window, buckets), B.ASK)
-    live = checkpointed(B.with_answers(blocks, B.answers(asked), _ask_windows(window), "block long, at binary, doc binary, keys binary, ids array<long>"))
+    asked = B.each_block(blocks, _ask_anchors(window, buckets), B.ASK)
+    live = dealt(B.with_answers(blocks, B.answers(asked), _ask_windows(window), "block long, at binary, doc binary, keys binary, ids array<long>"), "block")
+    del asked
+    release(spark)
     many = live.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = B.buckets_for(many // 8, spark)
     asked = B.each_block(live, _send_windows(buckets), B.ASK)
