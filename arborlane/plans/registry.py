@@ -30,9 +30,9 @@ RESULTS = """results as (
   select event_id as pos, 'a' || event_id as id, 'k' || (user_id % 7) as kind,
     case event_type when 'purchase' then 'executed' when 'click' then 'cached' when 'view' then 'skipped' when 'error' then 'failed' when 'signup' then 'flaky' else 'wouldrun' end as outcome,
     cast(floor(value) as bigint) as duration, 'input changed: f' || (event_id % 11) as reason, props as detail, user_id from events)"""
-SNAPS = """snap_a as (select o_orderkey as id, o_orderstatus as status, o_orderpriority as priority, cast(round(o_totalprice, 2) * 100 as bigint) as cents from orders where o_orderkey % 10 <> 0),
+SNAPS = """snap_a as (select o_orderkey as id, o_orderstatus as status, o_orderpriority as priority, cast(round(o_totalprice * 100) as bigint) as cents from orders where o_orderkey % 10 <> 0),
 snap_b as (select o_orderkey as id, o_orderstatus as status, case when o_orderkey % 7 = 0 then o_orderpriority || '!' else o_orderpriority end as priority,
-  case when o_orderkey % 21 = 0 then 0 else cast(round(o_totalprice, 2) * 100 as bigint) end as cents from orders where o_orderkey % 10 <> 1)"""
+  case when o_orderkey % 21 = 0 then 0 else cast(round(o_totalprice * 100) as bigint) end as cents from orders where o_orderkey % 10 <> 1)"""
 BLOBS = "blobs as (select doc_id as id, sha256(coalesce(text, '')) as digest, cast(strlen(coalesce(text, '')) as bigint) as bytes, source, lang from documents)"
 
 

@@ -83,12 +83,12 @@ def results(t: Tables) -> DataFrame:
 
 def snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Two snapshots of (id, status, priority, total): b has other rows and some other priorities."""
-    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round("o_totalprice", 2).alias("total"))
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("total"))
     cols = [F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")]
-    a = o.filter("o_orderkey % 10 <> 0").select(*cols, F.col("o_orderpriority").alias("priority"), (F.col("total") * 100).cast("long").alias("cents"))
+    a = o.filter("o_orderkey % 10 <> 0").select(*cols, F.col("o_orderpriority").alias("priority"), F.col("total").alias("cents"))
     b = o.filter("o_orderkey % 10 <> 1").select(
         *cols, F.when(F.col("o_orderkey") % 7 == 0, F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority")).alias("priority"),
-        F.when(F.col("o_orderkey") % 21 == 0, 0).otherwise((F.col("total") * 100).cast("long")).cast("long").alias("cents"))
+        F.when(F.col("o_orderkey") % 21 == 0, 0).otherwise(F.col("total")).cast("long").alias("cents"))
     return a, b
 
 
