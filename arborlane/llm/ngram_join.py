@@ -96,16 +96,38 @@ def _needed(n):
     return _lacking(least) // 2 + 1
 
 
-INFO = "block long, doc_id long, n long, set long"
+INFO = "block long, place long, doc_id long, n long, set long"
 
 
 def _info(row: dict) -> list[tuple]:
     x, sets = _sets(row)
-    return [(row["block"], doc, len(s), set_key(s)) for doc, s in zip(x.ids, sets)]
+    return [(row["block"], i, doc, len(s), set_key(s)) for i, (doc, s) in enumerate(zip(x.ids, sets))]
 
 
-def _distinct(sets: list[np.ndarray]) -> dict[int, np.ndarray]:
-    return {set_key(s): s for s in sets if len(s)}
+def _chosen(t: pa.Table) -> pa.Table:
+    """The places in a block of the rows that stand for their class, as an answer."""
+    places = np.sort(np.array(t.column("place").to_pylist(), np.int64))
+    return B.table(B.ANSWER, [(t.column("block")[0].as_py(), -1, places.tobytes(), b"")])
+
+
+def _beside(blocks: DataFrame, right: DataFrame, f, schema: str) -> DataFrame:
+    """f(block row, sets that stand for their class, the other answers) for each block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = np.zeros(0, np.int64)
+        counts = []
+        for bucket, count in sorted(zip(right.column("bucket").to_pylist(), right.column("count").to_pylist())):
+            if bucket < 0:
+                own = np.frombuffer(count, np.int64)
+            else:
+                counts.append(np.frombuffer(count, np.uint8))
+        rows = []
+        for row in left.to_pylist():
+            sets = _sets(row)[1]
+            rows.extend(f(row, [sets[i] for i in own.tolist()], np.concatenate(counts) if counts else np.zeros(0, np.uint8)))
+        return B.table(schema, rows)
+
+    return blocks.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
 
 
 def _held(keys: np.ndarray, owner: np.ndarray):
@@ -123,32 +145,44 @@ def _flat(sets: list[np.ndarray], names: list[int]) -> tuple[np.ndarray, np.ndar
 
 
 def _ask_first(buckets: int):
-    """Low is the smallest class that has the key, low of the second ask the smallest of
-    the classes' complements: a key is shared by two classes if they differ."""
+    """Count says whether one set of the block has the key, or more."""
 
-    def f(row: dict) -> list[tuple]:
-        own = _distinct(_sets(row)[1])
-        keys, owner = _flat([s[: _first(len(s))] for s in own.values()], list(own))
-        key, _, low = _held(keys, owner)
-        return B.asks(row["block"], key, np.ones(len(key)), low, buckets) + [
-            (r[0], r[1] + buckets, *r[2:]) for r in B.asks(row["block"], key, np.ones(len(key)), _held(keys, ~owner)[2], buckets)]
+    def f(row: dict, sets: list[np.ndarray], _) -> list[tuple]:
+        if not sets:
+            return []
+        key, count = np.unique(np.concatenate([s[: _first(len(s))] for s in sets]), return_counts=True)
+        rows = B.asks(row["block"], key, np.minimum(count, 2), np.zeros(len(key)), buckets)
+        return [(*r[:3], np.frombuffer(r[3], np.uint32).astype(np.uint8).tobytes(), b"") for r in rows]
 
     return f
 
 
+def _shared(t: pa.Table) -> pa.Table:
+    """Of a bucket's keys: 1 where two sets or more have it."""
+    keys, count = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("count", np.uint8)))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    many = np.empty(len(keys), np.uint8)
+    many[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    many |= count > 1
+    rows, at = [], 0
+    for block, bucket, b in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), t.column("count").to_pylist()):
+        rows.append((block, bucket, many[at : at + len(b)].tobytes(), b""))
+        at += len(b)
+    return B.table(B.ANSWER, rows)
+
+
 SETS = "set long, n int, keys binary"
 
 
-def _survivors(row: dict, found) -> list[tuple]:
-    own = _distinct(_sets(row)[1])
-    keys = np.unique(np.concatenate([s[: _first(len(s))] for s in own.values()])) if own else np.zeros(0, np.uint64)
-    low, high = found[1][: len(keys)], ~found[1][len(keys) :]
-    shared = keys[low != high]
-    out = []
-    for name, s in own.items():
-        if np.isin(s[: _first(len(s))], shared, assume_unique=True).sum() >= _needed(len(s)):
-            out.append((name, len(s), s.tobytes()))
-    return out
+def _survivors(row: dict, sets: list[np.ndarray], many: np.ndarray) -> list[tuple]:
+    if not sets:
+        return []
+    keys = np.unique(np.concatenate([s[: _first(len(s))] for s in sets]))
+    shared = keys[many > 0]
+    return [
+        (set_key(s), len(s), s.tobytes()) for s in sets
+        if np.isin(s[: _first(len(s))], shared, assume_unique=True).sum() >= _needed(len(s))]
 
 
 PACK = "block long, sets array<long>, lens binary, keys binary"
@@ -236,67 +270,67 @@ def _centre(t: pa.Table) -> pa.Table:
 
 
 class Region:
-    """Sets of a region, their links so far, and distances between them."""
+    """Sets of a region, their links so far, and distances between them, by an index from
+    shingles to the sets that have them."""
 
     def __init__(self, names: list[int], sets: list[np.ndarray], central: list[float]):
-        self.names, self.sets, self.central = names, sets, np.array(central)
+        self.names, self.sets, self.central = np.array(names, np.int64), sets, np.array(central)
         self.n = np.array([len(s) for s in sets], np.int64)
-        self.root = list(range(len(sets)))
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        self.done = np.zeros(len(sets), bool)  # was a pivot: all its links are known
+        self.root = np.arange(len(sets))  # the component of each set, by one of its sets
         self.links: list[tuple[int, int]] = []
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def distances(self, pivot: int, among: np.ndarray, flat: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Of the pivot to the sets among, and links where they are near."""
-        keys, at = flat
+    def distances(self, pivot: int) -> np.ndarray:
+        """Of a pivot to all sets; what is near joins its component."""
+        self.done[pivot] = True
         p = self.sets[pivot]
-        where = np.minimum(np.searchsorted(p, keys), len(p) - 1)
-        common = np.bincount(at[p[where] == keys], minlength=len(among))
-        union = len(p) + self.n[among] - common
-        for i in among[100 * common >= 80 * union].tolist():
-            x, y = self.find(i), self.find(pivot)
-            if x != y:
-                self.root[x] = y
-                self.links.append((self.names[i], self.names[pivot]))
+        lo, hi = np.searchsorted(self.keys, p), np.searchsorted(self.keys, p, side="right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sets))
+        union = len(p) + self.n - common
+        near = 100 * common >= 80 * union
+        met = np.unique(self.root[near])
+        if len(met) > 1:
+            for r in met[met != self.root[pivot]].tolist():
+                i = int(np.flatnonzero(near & (self.root == r))[0])
+                self.links.append((int(self.names[i]), int(self.names[pivot])))
+            self.root[np.isin(self.root, met)] = met[0]
         return 1 - common / union
 
-    def flat(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([self.sets[i] for i in among]), np.repeat(np.arange(len(among)), self.n[among])
+    def join(self) -> list[tuple[int, int]]:
+        self._join(np.arange(len(self.sets)), 0)
+        return self.links
 
-    def join(self, among: np.ndarray | None = None, depth: int = 0) -> list[tuple[int, int]]:
-        among = np.arange(len(self.sets)) if among is None else among
-        by_centre = among[np.argsort(-self.central[among], kind="stable")]
+    def _join(self, among: np.ndarray, depth: int) -> None:
         if len(among) <= LEAF or depth > 8:
-            self.leaf(by_centre)
-            return self.links
+            return self._leaf(among)
+        by_centre = among[np.argsort(-self.central[among], kind="stable")]
         step = max(1, len(among) // PIVOTS)
         pivots = np.unique(np.concatenate((by_centre[: PIVOTS // 2], by_centre[step // 2 :: step])))
-        flat = self.flat(among)
-        d = np.stack([self.distances(int(p), among, flat) for p in pivots])
+        d = np.stack([self.distances(int(p))[among] for p in pivots])
         for cell in cells_of(d):
             part = among[cell]
-            if len(part) > 1 and len({self.find(i) for i in part.tolist()}) > 1:
-                if len(part) > 0.8 * len(among):
-                    self.leaf(part[np.argsort(-self.central[part], kind="stable")])
-                else:
-                    self.join(part, depth + 1)
-        return self.links
-
-    def leaf(self, among: np.ndarray) -> None:
-        """Each set in turn is the pivot of those that come after it."""
-        while len(among) > 1:
-            if len({self.find(i) for i in among.tolist()}) == 1:
+            if len(part) > 1 and len(np.unique(self.root[part])) > 1:
+                self._leaf(part) if len(part) > 0.8 * len(among) else self._join(part, depth + 1)
+
+    def _leaf(self, among: np.ndarray) -> None:
+        """Sets outside the largest component are pivots, the most central first: two sets
+        of different components are not both in it, so each link is seen from one end."""
+        left = among[np.argsort(-self.central[among], kind="stable")]
+        left = left[~self.done[left]]
+        while len(left):
+            root = self.root[among]
+            names, sizes = np.unique(root, return_counts=True)
+            if len(names) == 1:
                 return
-            flat = self.flat(among)
-            for k in range(min(LEAF, len(among) - 1)):
-                self.distances(int(among[k]), among, flat)
-                if k % 16 == 0 and len({self.find(i) for i in among.tolist()}) == 1:
-                    return
-            among = among[min(LEAF, len(among) - 1) :]
+            left = left[self.root[left] != names[sizes.argmax()]] if sizes.max() > 1 else left
+            for p in left[:32].tolist():
+                self.distances(p)
+            left = left[32:]
 
 
 def cells_of(d: np.ndarray) -> list[np.ndarray]:
@@ -403,11 +437,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     info = checkpointed(B.each_block(blocks, _info, INFO))
     # 1. cells of single shingles
     buckets = B.buckets_for(tokens // 3, spark)
-    first = B.each_block(blocks, _ask_first(buckets), B.ASK)
-    kept = B.with_answers(blocks, B.answers(first), _survivors, SETS)
-    kept = kept.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    stands = info.filter("n > 0").groupBy("set").agg(F.min(F.struct("block", "place")).alias("k")).select("k.block", "k.place")
+    stands = checkpointed(stands.groupBy("block").applyInArrow(_chosen, B.ANSWER))
+    first = _beside(blocks, stands, _ask_first(buckets), B.ASK).groupBy("bucket").applyInArrow(_shared, B.ANSWER)
+    kept = _beside(blocks, stands.unionByName(first), _survivors, SETS)
     packs = dealt(kept.mapInArrow(_pack, PACK), "block")
-    del first, kept
+    del first, kept, blocks
     release(spark)
     many = packs.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = B.buckets_for(many // 8, spark)
