@@ -41,8 +41,10 @@ from arborlane.llm.common import checkpointed, small_batches
 LONG = 20_000
 LEAF = 8_192
 WINDOW = 64
-#: Words remembered by a task; the memory is emptied when full.
-REMEMBER = 300_000
+#: Documents whose words and ids are in a task's memory at a time.
+SLICE = 64
+#: Words in a generation of a task's memory of words.
+REMEMBER = 250_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -130,39 +132,47 @@ def encode_tree(path: str, text: str, leaf: int = LEAF) -> Coded:
 
 
 class Words:
-    """Encodings of words, remembered."""
+    """Encodings of words, remembered in two generations: words met again move to the
+    young one, which becomes the old one when it is full."""
 
     def __init__(self, path: str):
-        self.path, self.seen = path, {}
+        self.path, self.young, self.old = path, {}, {}
+        self.numbers = list(range(load(path)[0].get_vocab_size()))
+
+    def encode(self, texts: list[list[bytes]]) -> list[list[int]]:
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for w in {w for words in texts for w in words if w not in young}:
+            if w in old:
+                young[w] = old[w]
+            else:
+                new.append(w)
+        for w, e in zip(new, load(self.path)[0].encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            young[w] = tuple(map(self.numbers.__getitem__, e.ids))  # one object for each id
+        return [list(chain.from_iterable(map(young.__getitem__, words))) for words in texts]
 
-    def encode(self, texts: list[list[str]]) -> list[list[int]]:
-        whole = load(self.path)[0]
-        new = list({w for words in texts for w in words if w not in self.seen})
-        if len(self.seen) + len(new) > REMEMBER:
-            self.seen.clear()
-            new = list({w for words in texts for w in words})
-        for w, e in zip(new, whole.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[w] = e.ids
-        return [list(chain.from_iterable(map(self.seen.__getitem__, words))) for words in texts]
 
-
-def _split(text: str) -> list[str]:
-    """Words at ASCII white space only (str.split() knows more of it)."""
-    return text.translate(_SPACES).split(" ")
-
-
-_SPACES = {i: " " for i in range(9, 14)}
+def _words(text: str | None) -> list[str]:
+    """Words at ASCII white space only, as bytes.split() has it (str.split() knows more)."""
+    return [w.decode() for w in text.encode().split()] if text else []
 
 
-def _words(text: str | None) -> list[str]:
-    return [w for w in _split(text) if w] if text else []
+SHORT = "ids array<int>, decoded string"
 
 
-SHORT, PARTS = "ids array<int>, decoded string", "doc long, word int, piece int, leaf int, special int, part string"
+_strings: dict[str, list[str] | None] = {}
 
 
 def decode(path: str, ids: list[int]) -> str:
-    return load(path)[0].decode(ids, skip_special_tokens=False)
+    """As the library's decode(ids, skip_special_tokens=False). Without a decoder that is
+    the tokens' strings joined by spaces; one call for each token would cost more."""
+    whole = load(path)[0]
+    if path not in _strings:
+        _strings[path] = [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size())] if whole.decoder is None else None
+    strings = _strings[path]
+    return whole.decode(ids, skip_special_tokens=False) if strings is None else " ".join(map(strings.__getitem__, ids))
 
 
 def _short(path: str, long: int, names: list[str]):
@@ -170,14 +180,16 @@ def _short(path: str, long: int, names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(path)
-        for x in batches:
-            texts = [_words(t) for t in x.column("__text").to_pylist()]
-            easy = [max(map(len, w), default=0) <= long for w in texts]
-            ids = known.encode([w if ok else [] for w, ok in zip(texts, easy)])
-            out = load(path)[0].decode_batch(ids, skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(
-                [*[x.column(n) for n in names], pa.array([i if ok else None for i, ok in zip(ids, easy)], pa.list_(pa.int32())), pa.array([t if ok else None for t, ok in zip(out, easy)], pa.string())],
-                [*names, "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                x = whole.slice(at, SLICE)
+                texts = [t.encode().split() if t else [] for t in x.column("__text").to_pylist()]
+                easy = [not any(len(v) > long and len(v.decode()) > long for v in w) if max(map(len, w), default=0) > long else True for w in texts]
+                ids = known.encode([w if ok else [] for w, ok in zip(texts, easy)])
+                out = [decode(path, i) for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*[x.column(n) for n in names], pa.array([i if ok else None for i, ok in zip(ids, easy)], pa.list_(pa.int32())), pa.array([t if ok else None for t, ok in zip(out, easy)], pa.string())],
+                    [*names, "ids", "decoded"])
 
     return run
 
@@ -270,7 +282,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     work = [f"__c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(w) for c, w in zip(keep, work)], F.col(text).alias("__text"))
     ddl = ", ".join(f"{w} {f.dataType.simpleString()}" for w, f in zip(work, fields))
-    has_long = F.regexp_like(F.coalesce("__text", F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{{long + 1}}}"))
+    has_long = (F.length(F.coalesce("__text", F.lit(""))) > long) & F.regexp_like(F.coalesce("__text", F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{{long + 1}}}"))
     back = [F.col(w).alias(c) for c, w in zip(keep, work)]
     hard = checkpointed(rows.filter(has_long).withColumn("__row", F.monotonically_increasing_id()))
     if hard.isEmpty():
