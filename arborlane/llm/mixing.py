@@ -11,9 +11,10 @@ Nothing is collected in one task: sizes are pre-aggregated by (source, words), t
 ranking by (source, slice of rank), and only the slice with the end of a sample is
 sorted. What a row then needs is a handful of numbers of its source.
 
-Defined cases: a null text has no words; a document without words is never taken; a
-null source is a source, the last one; an empty table gives an empty result; rows
-that repeat as a whole are taken together or not at all at the end of a sample.
+Defined cases: a null text has no words; a document without words is never taken, nor is
+one that is longer than its source's whole target (but to close a gap); a null source is
+a source, the last one; an empty table gives an empty result; rows that repeat as a whole
+are taken together or not at all at the end of a sample.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def _with(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(side, F.col("__source").eqNullSafe(F.col("__side")), how).drop("__side")
 
 
-def _weight(size: str = "__size") -> Column:
-    return F.round(F.sqrt(F.col(size)) * 1024).cast("long")
+def _weight() -> Column:
+    """A document longer than its source's whole target has no place in a mix."""
+    return F.when(F.col("__size") <= F.col("__t"), F.round(F.sqrt("__size") * 1024).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -74,16 +76,15 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame
 def _rate(sizes: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """c of each source, from its sizes, largest first: the first size not above most."""
     down = W.partitionBy("__source").orderBy(F.col("__size").desc())
-    g = _weight()
-    x = sizes.withColumns({"__xn": F.col("__size") * F.col("__n"), "__g": g})
+    x = _with(sizes, targets).withColumn("__g", _weight())
+    x = x.withColumn("__xn", F.when(F.col("__g") > 0, F.col("__size") * F.col("__n")).otherwise(F.lit(0).cast("long")))
     x = x.withColumns({
         "__above": most * F.coalesce(F.sum("__xn").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
         "__under": F.sum((F.col("__xn") * F.col("__g")).cast("decimal(38,0)")).over(down.rowsBetween(0, W.unboundedFollowing)).cast("double"),
     })
-    x = _with(x, targets)
     x = x.withColumn("__c", F.try_divide(F.col("__t") - F.col("__above"), F.col("__under")))
     return x.groupBy("__source", "__s", "__t").agg(
-        F.coalesce(F.max_by(F.when(F.col("__c") * F.col("__g") <= most, F.col("__c")), F.when(F.col("__c") * F.col("__g") <= most, F.col("__size"))), F.lit(1e300)).alias("__c")
+        F.coalesce(F.max_by("__c", F.when((F.col("__g") > 0) & (F.col("__c") * F.col("__g") <= most), F.col("__size"))), F.lit(1e300)).alias("__c")
     )
 
 
@@ -109,30 +110,36 @@ def plan(narrow: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     sure = _ranked(_with(sizes.withColumn("__u", F.lit(0.5)), rates), most).groupBy("__source", "__t").agg(
         F.sum(F.col("__sure") * F.col("__size") * F.col("__n")).alias("__sw"))
     want = checkpointed(sure.select("__source", (F.col("__t") - F.col("__sw")).alias("__want")))
+    ranked = _with(ranked, want)
+    fits = F.col("__v").isNotNull() & (F.col("__size") <= F.col("__want"))
     up = W.partitionBy("__source").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    hist = ranked.filter("__v is not null").groupBy("__source", "__slice").agg(F.sum("__size").alias("__x"))
+    hist = ranked.filter(fits).groupBy("__source", "__slice", "__want").agg(F.sum("__size").alias("__x"))
     hist = hist.withColumn("__before", F.coalesce(F.sum("__x").over(up), F.lit(0)))
-    edge = _with(hist, want).filter("__before <= __want").groupBy("__source").agg(
-        F.max_by(F.struct("__slice", "__before", "__want"), "__slice").alias("__e"))
-    edge = checkpointed(edge.select("__source", F.col("__e.__slice").alias("__es"), F.col("__e.__before").alias("__eb"), F.col("__e.__want").alias("__want")))
-    last = _with(ranked.filter("__v is not null"), edge).filter("__slice = __es")
+    edge = hist.filter("__before <= __want").groupBy("__source").agg(
+        F.max_by(F.struct("__slice", "__before"), "__slice").alias("__e"))
+    edge = checkpointed(edge.select("__source", F.col("__e.__slice").alias("__es"), F.col("__e.__before").alias("__eb")))
+    last = _with(ranked.filter(fits), edge).filter("__slice = __es")
     last = last.withColumn("__sum", F.col("__eb") + F.sum("__size").over(W.partitionBy("__source").orderBy("__v").rangeBetween(W.unboundedPreceding, 0)))
     ends = last.groupBy("__source", "__es", "__eb", "__want").agg(
         F.max(F.when(F.col("__sum") <= F.col("__want"), F.struct(F.col("__v"), F.col("__sum")))).alias("__l"))
-    ends = checkpointed(ends.select(
-        "__source", F.coalesce(F.col("__l.__v"), F.col("__es") / slices).alias("__end"),
-        (F.col("__want") - F.coalesce(F.col("__l.__sum"), F.col("__eb"))).alias("__gap")))
-    spare = _with(ranked, ends).filter((F.col("__m") < most) & (F.col("__size") > 0) & (F.col("__v").isNull() | (F.col("__v") > F.col("__end"))))
+    ends = ends.select(
+        F.col("__source").alias("__s1"), F.coalesce(F.col("__l.__v"), F.col("__es") / slices).alias("__end"),
+        (F.col("__want") - F.coalesce(F.col("__l.__sum"), F.col("__eb"))).alias("__gap"))
+    # a source may have no document that fits
+    ends = want.join(ends, F.col("__source").eqNullSafe(F.col("__s1")), "left").select(
+        "__source", "__want", F.coalesce("__end", F.lit(-1.0)).alias("__end"), F.coalesce("__gap", "__want").alias("__gap"))
+    ends = checkpointed(ends)
+    spare = _with(ranked.drop("__want"), ends).filter((F.col("__sure") < most) & (F.col("__size") > 0) & ~F.coalesce(fits & (F.col("__v") <= F.col("__end")), F.lit(False)))
     off = F.abs(F.col("__size") - F.col("__gap"))
     fill = spare.filter(off < F.col("__gap")).groupBy("__source").agg(F.min(F.struct(off.alias("o"), "__u", "__id")).alias("__f"))
     keep = _with(rates, ends, "left")
     keep = _with(keep, checkpointed(fill), "left")
-    return checkpointed(keep.select("__source", "__s", "__t", "__c", F.coalesce("__end", F.lit(-1.0)).alias("__end"), F.col("__f.__u").alias("__fu"), F.col("__f.__id").alias("__fid")))
+    return checkpointed(keep.select("__source", "__s", "__t", "__c", "__want", "__end", F.col("__f.__u").alias("__fu"), F.col("__f.__id").alias("__fid")))
 
 
 def _decided(rows: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
     x = _ranked(_with(rows, per_source), most)
-    more = F.coalesce(F.col("__v") <= F.col("__end"), F.lit(False))
+    more = F.coalesce((F.col("__v") <= F.col("__end")) & (F.col("__size") <= F.col("__want")), F.lit(False))
     gap = F.coalesce((F.col("__u") == F.col("__fu")) & F.col("__id").eqNullSafe(F.col("__fid")), F.lit(False))
     return x.withColumn("__copies", F.col("__sure") + (more | gap).cast("long"))
 

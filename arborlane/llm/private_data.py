@@ -130,8 +130,9 @@ def _learned(found: DataFrame) -> DataFrame:
     seen = seen.groupBy("kind", "p", "i").agg(F.count("*").alias("n")).withColumn("seed", F.lit(True))
     look = lambda k: F.transform(F.regexp_extract_all(F.col("w.t"), F.lit(LOOKS[k]), 0), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("i")))
     looks = F.flatten(F.array(*[look(k) for k in KINDS]))
-    other = found.select(F.explode("words").alias("w")).select(F.explode(looks).alias("x"), F.col("w.l").alias("l"), F.col("w.r").alias("r"))
-    other = other.select("x.kind", F.lower("x.i").alias("i"), F.explode(_patterns(F.col("l"), F.col("r"))).alias("p"))
+    whole = F.regexp_like("w.t", F.lit(FORMS["email"])) | F.regexp_like("w.t", F.lit(FORMS["ip"]))  # a word with a base span is no candidate
+    other = found.select(F.explode("words").alias("w")).filter(~whole).select(F.explode(looks).alias("x"), F.col("w.l").alias("l"), F.col("w.r").alias("r"))
+    other = other.filter((F.col("x.kind") != "card") | ~_passes("card", F.col("x.i"))).select("x.kind", F.lower("x.i").alias("i"), F.explode(_patterns(F.col("l"), F.col("r"))).alias("p"))
     other = other.groupBy("kind", "p", "i").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))
     graph = seen.unionByName(other).groupBy("kind", "p", "i").agg(F.max("seed").alias("seed"))
     known = graph.filter("seed").select("kind", "i").distinct().withColumn("known", F.lit(True))

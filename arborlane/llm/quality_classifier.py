@@ -37,7 +37,7 @@ NEIGHBOURS, SHARP = 15, 8.0
 THRESHOLD = 0.7
 FOLDS, HELD = 4, 2
 TERMS = SHAPES + ENDINGS + 4
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 _RUNS = re.compile(r"(.)\1+", re.S)
 _CASE = str.maketrans({c: "A" for c in map(chr, range(65, 91))} | {c: "a" for c in map(chr, range(97, 123))} | {c: "9" for c in "0123456789"})
