@@ -33,16 +33,16 @@ def events(t):
     return e.groupBy("log").agg(F.count_if(F.col("bad").isNull()).alias("events"), F.count_if(F.col("bad") == "middle").alias("bad_middle"), F.bool_or(F.coalesce(F.col("bad") == "last", F.lit(False))).alias("truncated"))
 
 
-@query("import_ninja", f"with {EDGES} select src as target, 'link' as rule, dst as input, exists (select 1 from edges f where f.src = e.dst) as is_dep from edges e where src like 's%' or src like 'n%' or src like 'c%'")
+@query("import_ninja", f"with {EDGES} select src as target, 'link' as rule, dst as input, exists (select 1 from edges f where f.src = e.dst) as is_dep from edges e")
 def ninja(t):
-    e = D.edges(t).filter(F.substring("src", 1, 1).isin("s", "n", "c"))
+    e = D.edges(t)
     lines = e.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("i")).select(F.format_string("build %s: link %s", "src", "i").alias("text"))
     return R.ninja(lines, "text")
 
 
 @query("import_npm", f"with recursive {EDGES}, w as (select 's1' as name union select dst from edges join w on src = name) select name from w where name <> 's1'")
 def npm(t):
-    e = D.edges(t).filter(F.substring("src", 1, 1).isin("s", "n"))
+    e = D.edges(t)
     names = e.select(F.col("src").alias("name")).union(e.select("dst")).distinct()
     deps = e.groupBy(F.col("src").alias("name")).agg(F.map_from_arrays(F.collect_list("dst"), F.collect_list(F.lit("*"))).alias("dependencies"))
     texts = names.join(deps, "name", "left").select(F.to_json(F.struct("name", "dependencies")).alias("text"))
@@ -95,9 +95,9 @@ def sink_junit(t):
     return S.junit_xml(s)
 
 
-@query("sink_dot", f"""with {EDGES} select '  "' || src || '" -> "' || dst || '";' as line from edges where src like 'n%' or src like 's%'""")
+@query("sink_dot", f"""with {EDGES} select '  "' || src || '" -> "' || dst || '";' as line from edges""")
 def sink_dot(t):
-    return S.dot(D.edges(t).filter(F.substring("src", 1, 1).isin("n", "s")))
+    return S.dot(D.edges(t))
 
 
 _KIND = "case p_partkey % 4 when 0 then 'library' when 1 then 'program' when 2 then 'rule' else 'test' end"

@@ -110,15 +110,16 @@ def levels(t):
     return G.levels(D.edges(t))
 
 
-BACK = f"with recursive {EDGES}, g as (select src, dst from edges where src like 's%' or src like 'n%' union select 'r' || r_regionkey, 's' || (r_regionkey + 1) from region where r_regionkey < 2)"
+BACK = f"""with recursive {EDGES}, back as (select 'r' || r_regionkey as src, 's' || (r_regionkey + 1) as dst from region where r_regionkey < 2), a as (select * from edges union select * from back),
+  near as (select dst as name from back union select a.dst from a join near on src = name), g as (select src, dst from a where src in (select name from near))"""
 
 
 @query("graph_cycles", BACK + """, w as (select src as a, dst as b from g union select a, dst from w join g on src = b)
   select distinct a as name from w x where exists (select 1 from w y where y.a = x.b and y.b = y.a) and exists (select 1 from w z where z.b = x.a and z.a = z.b) or a = b""")
 def cycles(t):
-    e = D.edges(t).filter(D.kind(F.col("src")).isin("s", "n"))
+    """All edges, and two that lead back (every cycle goes through one of these)."""
     back = t.region.filter("r_regionkey < 2").select(D.node("r", "r_regionkey").alias("src"), F.concat(F.lit("s"), (F.col("r_regionkey") + 1).cast("string")).alias("dst"))
-    return G.cyclic(e.union(back))
+    return G.cyclic(D.edges(t).union(back))
 
 
 @query("graph_unreachable", f"with recursive {EDGES}, {TARGETS}, w as (select name from targets where name like 'o%1' union select dst from edges join w on src = name) select name from targets where name not in (select name from w)")
@@ -135,9 +136,9 @@ def induced(t):
     return both.select(F.format_string('"%s" -> "%s"', "src", "dst").alias("line"))
 
 
-@query("graph_label_kind", f"with {EDGES}, {TARGETS} select kind || ' target ' || name as line from targets where kind in ('n', 'r', 's')")
+@query("graph_label_kind", f"with {EDGES}, {TARGETS} select kind || ' target ' || name as line from targets")
 def label_kind(t):
-    return D.targets(D.edges(t)).filter(F.col("kind").isin("n", "r", "s")).select(F.format_string("%s target %s", "kind", "name").alias("line"))
+    return D.targets(D.edges(t)).select(F.format_string("%s target %s", "kind", "name").alias("line"))
 
 
 @query("graph_query_json", WALK_DOWN + """ select '{"query":"deps","targets":["' || string_agg(name, '","' order by name) || '"]}' as line from w""")

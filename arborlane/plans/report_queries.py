@@ -91,10 +91,10 @@ def throughput(t):
     return m.select("kind", F.round(F.try_divide(F.col("n") * 4096.0 / 1048576.0, F.col("median") / 1000.0), 4).alias("mib_s"))
 
 
-@query("bench_interleaved", f"with {RESULTS} select id, row_number() over (order by user_id, case when user_id % 2 = 0 then pos else -pos end) as place from results where pos < 200")
+@query("bench_interleaved", f"with {RESULTS} select id, row_number() over (partition by user_id order by case when user_id % 2 = 0 then pos else -pos end) as place from results")
 def interleaved(t):
-    x = D.results(t).filter("pos < 200")
-    return x.select("id", F.row_number().over(W.orderBy("user_id", F.when(F.col("user_id") % 2 == 0, F.col("pos")).otherwise(-F.col("pos")))).cast("long").alias("place"))
+    x = D.results(t)
+    return x.select("id", F.row_number().over(W.partitionBy("user_id").orderBy(F.when(F.col("user_id") % 2 == 0, F.col("pos")).otherwise(-F.col("pos")))).cast("long").alias("place"))
 
 
 @query("pivot_strategy", f"with {ACTIONS}, k as (select kind, pos % 4 as jobs, duration from actions) select kind, " + ", ".join(f"cast(sum(duration) filter (jobs = {j}) as bigint) as jobs_{j}" for j in range(4)) + " from k group by kind")

@@ -91,7 +91,7 @@ def shards(t):
     return t.part.select(F.explode(X.shard_ids(F.col("p_name"), F.col("p_size") % 4)).alias("shard"))
 
 
-@query("human_bytes", "select doc_id, case when n >= 1099511627776 then printf('%.1f TiB', n / 1099511627776.0) when n >= 1073741824 then printf('%.1f GiB', n / 1073741824.0) when n >= 1048576 then printf('%.1f MiB', n / 1048576.0) when n >= 1024 then printf('%.1f KiB', n / 1024.0) else n || ' B' end as size from (select doc_id, cast(strlen(text) as bigint) * 7 as n from documents)")
+@query("human_bytes", "select doc_id, case when n >= 1099511627776 then printf('%.1f TiB', round(n / 1099511627776.0, 1)) when n >= 1073741824 then printf('%.1f GiB', round(n / 1073741824.0, 1)) when n >= 1048576 then printf('%.1f MiB', round(n / 1048576.0, 1)) when n >= 1024 then printf('%.1f KiB', round(n / 1024.0, 1)) else n || ' B' end as size from (select doc_id, cast(strlen(text) as bigint) * 7 as n from documents)")
 def human(t):
     return t.documents.select("doc_id", X.human_bytes(F.octet_length("text").cast("long") * 7).alias("size"))
 
@@ -183,9 +183,9 @@ def export(t):
     return t.events.select(F.to_json(F.struct(F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("action"), F.col("user_id").cast("string").alias("key"), F.floor("value").cast("long").alias("duration_ms"))).alias("line"))
 
 
-@query("language_detect", "with f as (select source, case when lang in ('en', 'de') then 'germanic' else 'romance' end as family from documents where doc_id % 50 < 2) select source, case when count(distinct family) = 1 then min(family) else 'ambiguous' end as family from f group by source")
+@query("language_detect", "with f as (select source || '/' || (n_chars % 60) as source, case when lang in ('en', 'de') then 'germanic' else 'romance' end as family from documents) select source, case when count(distinct family) = 1 then min(family) else 'ambiguous' end as family from f group by source")
 def detect(t):
-    f = t.documents.filter("doc_id % 50 < 2").select("source", F.when(F.col("lang").isin("en", "de"), "germanic").otherwise("romance").alias("family"))
+    f = t.documents.select(F.concat_ws("/", "source", (F.col("n_chars") % 60).cast("string")).alias("source"), F.when(F.col("lang").isin("en", "de"), "germanic").otherwise("romance").alias("family"))
     return f.groupBy("source").agg(F.when(F.countDistinct("family") == 1, F.min("family")).otherwise("ambiguous").alias("family"))
 
 
