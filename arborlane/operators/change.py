@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlane.plans.lineage import cut
+from arborlane.operators.graph import peeled
 
 
 def compared(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -43,21 +43,18 @@ def holds(expected: DataFrame, actual: DataFrame, owner: str, path: str, digest:
     return x.groupBy(owner).agg(F.bool_and((F.coalesce("__now", F.lit("MISSING")) == F.col(digest)) & ~F.col("__twice")).alias("cached"))
 
 
-def decided(own: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:
+#: Decisions of a dry run, by number.
+DECISIONS = ("cached", "would_run", "may_run", "failed", "skipped")
+
+
+def decided(own: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, decision) of a dry run. own: (name, state) by itself: failed, dirty or clean.
     Skipped if a dependency failed or is skipped; may_run if one runs or may run; else its
-    own state. Level by level, one aggregate each; edges go from a node to what it needs."""
-    x = cut(levels.join(own, "name", "left").select("name", "level", F.coalesce("state", F.lit("clean")).alias("state")))
-    own_says = F.when(F.col("state") == "failed", "failed").when(F.col("state") == "dirty", "would_run").otherwise("cached")
-    done = cut(x.filter("level = 0").select("name", own_says.alias("decision")))
-    for k in range(1, (x.agg(F.max("level")).first()[0] or 0) + 1):
-        here = x.filter(F.col("level") == k)
-        needs = edges.join(here.select(F.col("name").alias("src")), "src", "left_semi").join(done.withColumnRenamed("name", "dst"), "dst")
-        worst = needs.groupBy(F.col("src").alias("name")).agg(
-            F.max(F.when(F.col("decision").isin("failed", "skipped"), 2).when(F.col("decision").isin("would_run", "may_run"), 1).otherwise(0)).alias("w"))
-        said = F.when(F.col("w") == 2, "skipped").when(F.col("w") == 1, "may_run").otherwise(own_says)
-        done = cut(done.union(here.join(worst, "name", "left").select("name", said.alias("decision"))))
-    return done
+    own state. Edges go from a node to what it needs. Decisions are numbered so that the
+    largest one of the dependencies decides."""
+    own_says = F.when(F.col("__state") == "failed", 3).when(F.col("__state") == "dirty", 1).otherwise(0)
+    x = peeled(edges, own.select("name", F.col("state").alias("__state")), lambda worst: F.when(worst >= 3, 4).when(worst >= 1, 2).otherwise(own_says))
+    return x.select("name", F.element_at(F.array(*[F.lit(d) for d in DECISIONS]), (F.col("value") + 1).cast("int")).alias("decision"))
 
 
 def layered(settings: DataFrame, key: str, value: str, priority: str) -> DataFrame:

@@ -7,10 +7,10 @@ shallow), a recursive query (paths), and one task (deep chains whose edges fit i
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.plans.lineage import cut
@@ -91,24 +91,35 @@ def _chain(first: DataFrame, a: str) -> DataFrame:
     return first.join(walk.withColumnRenamed("name", "src"), "src", "left_semi")
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(name, level): the longest way to a node without outgoing edges. Raises on a cycle."""
+def peeled(edges: DataFrame, own: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
+    """(name, level, value) of all nodes. A node is done once all nodes that it has edges to
+    are done; its value is value(largest of theirs), which may use the columns of own
+    (name, ...) and sees null at the ends. A round joins the nodes just done to their edges,
+    so each edge is met once. Raises on a cycle."""
     names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
-    level = 0
-    now = cut(names.join(edges.select(F.col("src").alias("name")), "name", "left_anti"))
-    done = now.withColumn("level", F.lit(0).cast("long"))
-    left = cut(edges)
+    out = edges.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("__left"))
+    cols = [c for c in own.columns if c != "name"]
+    state = cut(names.join(own, "name", "left").join(out, "name", "left").select(
+        "name", *cols, F.coalesce("__left", F.lit(0)).alias("__left"), F.lit(None).cast("long").alias("__best")))
+    done, level = None, 0
     while True:
-        left = cut(left.join(now.withColumnRenamed("name", "dst"), "dst", "left_anti"))
-        open_ = left.select(F.col("src").alias("name")).distinct()
-        rest = names.join(done.select("name"), "name", "left_anti")
-        level += 1
-        now = cut(rest.join(open_, "name", "left_anti"))
+        now = cut(state.filter("__left = 0").select("name", F.lit(level).cast("long").alias("level"), value(F.col("__best")).cast("long").alias("value")))
         if now.isEmpty():
-            if not open_.isEmpty():
-                raise ValueError("the graph has a cycle")
-            return done
-        done = cut(done.union(now.withColumn("level", F.lit(level).cast("long"))))
+            break
+        done = now if done is None else done.union(now)
+        hit = edges.join(now.select(F.col("name").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("name")).agg(F.count("*").alias("__n"), F.max("value").alias("__v"))
+        state = cut(state.filter("__left > 0").join(hit, "name", "left").select(
+            "name", *cols, (F.col("__left") - F.coalesce("__n", F.lit(0))).alias("__left"), F.greatest("__best", "__v").alias("__best")))
+        level += 1
+    if not state.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return now.select("name", "level", "value") if done is None else done
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(name, level): the longest way to a node without outgoing edges. Raises on a cycle."""
+    none = edges.select(F.col("src").alias("name")).limit(0)
+    return peeled(edges, none, lambda best: F.coalesce(best + 1, F.lit(0))).select("name", "level")
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
@@ -125,12 +136,7 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 
 def longest(edges: DataFrame, weights: DataFrame) -> DataFrame:
-    """(name, priority): own weight plus the largest priority of a successor; by levels."""
-    depth = cut(levels(edges).join(weights, "name", "left").select("name", "level", F.coalesce("weight", F.lit(0)).cast("long").alias("weight")))
-    top = depth.agg(F.max("level")).first()[0] or 0
-    done = cut(depth.filter("level = 0").select("name", F.col("weight").alias("priority")))
-    for k in range(1, top + 1):
-        here = depth.filter(F.col("level") == k)
-        best = edges.join(here.select(F.col("name").alias("src")), "src", "left_semi").join(done.withColumnRenamed("name", "dst"), "dst").groupBy("src").agg(F.max("priority").alias("p"))
-        done = cut(done.union(here.join(best.withColumnRenamed("src", "name"), "name").select("name", (F.col("weight") + F.col("p")).alias("priority"))))
-    return done
+    """(name, priority): own weight plus the largest priority of a node it has an edge to."""
+    own = weights.select("name", F.col("weight").alias("__w"))
+    x = peeled(edges, own, lambda best: F.coalesce("__w", F.lit(0)) + F.coalesce(best, F.lit(0)))
+    return x.select("name", F.col("value").alias("priority"))

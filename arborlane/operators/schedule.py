@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,21 +69,24 @@ def ranks(durations: list[int], needs: list[list[int]]) -> list[int]:
 
 def sweep(actions: DataFrame, strategies: tuple[str, ...], jobs: tuple[int, ...]) -> DataFrame:
     """A row of POINT for each graph, strategy and job count. actions: (graph, pos, duration,
-    guess, needs array<int>), needs pointing to smaller pos. Each cell is a task of its own;
-    a graph is one build, which fits in a task."""
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(j).alias("jobs")) for s in strategies for j in jobs]))
-    x = actions.select("graph", "pos", "duration", "guess", "needs", grid.alias("g")).select("graph", "pos", "duration", "guess", "needs", "g.strategy", "g.jobs")
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("pos")
-        d, guess, needs = (t.column(c).to_pylist() for c in ("duration", "guess", "needs"))
-        graph, strategy, n = (k.as_py() for k in key)
-        priority = {"fifo": [0] * len(d), "critical": ranks(guess, needs), "longest": guess}[strategy]
-        row = (graph, strategy, n, simulate(d, needs, priority, n), sum(d), max(ranks(d, needs), default=0))
-        fields = [("graph", pa.string()), ("strategy", pa.string()), ("jobs", pa.int32()), ("makespan", pa.int64()), ("work", pa.int64()), ("critical_path", pa.int64())]
-        return pa.Table.from_pylist([dict(zip((n for n, _ in fields), row))], pa.schema(fields))
-
-    return x.groupBy("graph", "strategy", "jobs").applyInArrow(run, POINT)
+    guess, needs array<int>), needs pointing to smaller pos. A graph is one build, which is
+    one row of lists: a task simulates its graphs one after another."""
+    listed = actions.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("pos", "duration", "guess", "needs"))).alias("a"))
+    flat = listed.select("graph", F.col("a.duration").alias("duration"), F.col("a.guess").alias("guess"), F.col("a.needs").alias("needs"))
+    fields = pa.schema([("graph", pa.string()), ("strategy", pa.string()), ("jobs", pa.int32()), ("makespan", pa.int64()), ("work", pa.int64()), ("critical_path", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = []
+            for graph, d, guess, needs in zip(*(x.column(c).to_pylist() for c in ("graph", "duration", "guess", "needs"))):
+                work, path = sum(d), max(ranks(d, needs), default=0)
+                for strategy in strategies:
+                    priority = {"fifo": lambda: [0] * len(d), "critical": lambda: ranks(guess, needs), "longest": lambda: guess}[strategy]()
+                    rows.extend((graph, strategy, n, simulate(d, needs, priority, n), work, path) for n in jobs)
+            cols = list(zip(*rows)) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], schema=fields)
+
+    return flat.mapInArrow(run, POINT)
 
 
 def best(points: DataFrame) -> DataFrame:

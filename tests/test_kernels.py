@@ -114,10 +114,10 @@ def test_cycle(spark):
 def test_dry_run(spark):
     e = _edges(spark).select("src", "dst")
     own = spark.createDataFrame([("gen", "dirty"), ("text", "failed")], "name string, state string")
-    got = {r["name"]: r["decision"] for r in change.decided(own, e, graph.levels(e)).collect()}
+    got = {r["name"]: r["decision"] for r in change.decided(own, e).collect()}
     assert got == {"gen": "would_run", "core": "may_run", "render": "may_run", "text": "may_run", "cli": "may_run", "core_test": "may_run"}
     own = spark.createDataFrame([("text", "failed")], "name string, state string")
-    got = {r["name"]: r["decision"] for r in change.decided(own, e, graph.levels(e)).collect()}
+    got = {r["name"]: r["decision"] for r in change.decided(own, e).collect()}
     assert got["text"] == "failed" and got["cli"] == "skipped" and got["render"] == "cached"
 
 
