@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlane.llm.common import dealt, partitions, release, small_batches
+from arborlane.llm.common import dealt, give_back, partitions, release, small_batches
 
 #: A block closes at this many bytes of text or documents; one document is never split.
 BLOCK_BYTES, BLOCK_DOCS = 1_500_000, 2_000
@@ -98,6 +98,7 @@ def _make(lower: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     number, size = number + 1, 0
         if ids:
             yield closed()
+        give_back()
 
     return run
 
@@ -106,9 +107,8 @@ def token_blocks(docs: DataFrame, lower: bool, doc_id: str = "doc_id", text: str
     """Blocks of all rows of docs. A null text has no words; a null id stays null.
     Words are split at the six ASCII white-space characters, which bytes.split() does."""
     spark = docs.sparkSession
-    with small_batches(spark):
-        made = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_make(lower), BLOCK)
-        out = dealt(made, "block")
+    small_batches(spark)
+    out = dealt(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_make(lower), BLOCK), "block")
     release(spark)
     return out
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arborlane.llm.common import checkpointed, small_batches
+from arborlane.llm.common import checkpointed, give_back, small_batches
 
 LONG = 20_000
 LEAF = 8_192
@@ -190,6 +190,8 @@ def _short(path: str, long: int, names: list[str]):
                 yield pa.RecordBatch.from_arrays(
                     [*[x.column(n) for n in names], pa.array([i if ok else None for i, ok in zip(ids, easy)], pa.list_(pa.int32())), pa.array([t if ok else None for t, ok in zip(out, easy)], pa.string())],
                     [*names, "ids", "decoded"])
+        del known
+        give_back()
 
     return run
 
@@ -276,8 +278,10 @@ def _gather(path: str):
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, long: int = LONG, leaf: int = LEAF) -> DataFrame:
-    """The columns keep of docs (default: all), with ids array<int> and decoded string."""
-    keep = docs.columns if keep is None else keep
+    """The columns keep of docs (default: all), with ids array<int> and decoded string,
+    which take the place of columns of these names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
+    small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     work = [f"__c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(w) for c, w in zip(keep, work)], F.col(text).alias("__text"))
@@ -291,8 +295,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     leaves = hard.select("__row", "__text").mapInArrow(_leaves(path, long, leaf), "row long, place int, node int, special int, part string, bare boolean")
     leaves = checkpointed(leaves)
     most = leaves.agg(F.max("node")).first()[0] or 0
-    with small_batches(docs.sparkSession, 16):
-        level = checkpointed(leaves.repartition("row", "place", "node").mapInArrow(_encode_leaves(path), CODED))
+    level = checkpointed(leaves.repartition("row", "place", "node").mapInArrow(_encode_leaves(path), CODED))
     while most > 0:
         level = level.groupBy("row", "place", F.floor(F.col("node") / 2).alias("up")).applyInArrow(_join_two(path), CODED)
         most //= 2

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import ctypes
 import gc
+import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's own, else one set here (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="arborlane-"))
+        given = spark.conf.get("spark.checkpoint.dir", "")
+        if not given:
+            given = tempfile.mkdtemp(prefix="arborlane-")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        sc.setCheckpointDir(given)
     return sc.getCheckpointDir()
 
 
@@ -76,9 +84,25 @@ def settings(spark: SparkSession, **conf):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 256):
-    """Few rows in an Arrow batch, so that batches of long texts stay small."""
-    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows)
+#: Rows of texts in an Arrow batch. Spark's default of 10,000 rows can be 100 MB of texts,
+#: held by the JVM and by Python for each task.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's number of rows in an Arrow batch to BATCH_ROWS. Results are
+    computed after the operator has returned, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def let(value: Column, body) -> Column:

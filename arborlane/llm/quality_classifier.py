@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlane.llm.common import small_batches
+from arborlane.llm.common import give_back, small_batches
 
 SAMPLE = 1_000
 DIMS, SHAPES, ENDINGS = 48, 1536, 384
@@ -140,8 +140,8 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = H
             sparse = [(np.flatnonzero(b).astype(np.int16).tobytes(), b[b != 0].tobytes()) for b in found]
             yield pa.RecordBatch.from_arrays([x.column("__id"), x.column("__label"), pa.array([a for a, _ in sparse], pa.binary()), pa.array([b for _, b in sparse], pa.binary())], ["id", "label", "at", "value"])
 
-    with small_batches(docs.sparkSession):
-        found = sorted({(r["label"], zlib.crc32(str(r["id"]).encode()), r["id"], bytes(r["at"]), bytes(r["value"])) for r in rows.mapInArrow(bags, "id long, label int, at binary, value binary").collect()})
+    small_batches(docs.sparkSession)
+    found = sorted({(r["label"], zlib.crc32(str(r["id"]).encode()), r["id"], bytes(r["at"]), bytes(r["value"])) for r in rows.mapInArrow(bags, "id long, label int, at binary, value binary").collect()})
     kept, seen = [], {}
     for y, _, _, at, value in found:
         if seen.setdefault(y, 0) < sample and at:
@@ -155,11 +155,12 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = H
     return Space(x, np.array([y for y, _, _ in kept]), n.get(1, 0) / sum(n.values()))
 
 
-def scored(docs: DataFrame, space: Space | None, text: str = "text") -> DataFrame:
-    """docs, all columns, and __score."""
+def scored(docs: DataFrame, space: Space | None, text: str = "text", score: str = "__score") -> DataFrame:
+    """docs, all columns, and the score."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
     work = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     ddl = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +172,11 @@ def scored(docs: DataFrame, space: Space | None, text: str = "text") -> DataFram
                 if s is not None:
                     out[at : at + 512] = s.scores(make(texts))
             yield pa.RecordBatch.from_arrays([*[x.column(n) for n in names], pa.array(out)], [*names, "__score"])
+        del make
+        give_back()
 
     done = work.mapInArrow(run, f"{ddl}, __score double")
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], "__score")
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)], F.col("__score").alias(score))
 
 
 def judged(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE,
@@ -184,7 +187,8 @@ def judged(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = H
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
-    return judged(docs, labels).filter(F.col("__score") >= threshold).select(docs.columns)
+    name = max(docs.columns, key=len) + "_score"  # longer than any name that docs has
+    return scored(docs, fitted(docs, labels), score=name).filter(F.col(name) >= threshold).select(docs.columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
