@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm import blocks as B
-from arborlane.llm.common import BROADCAST_ROWS, checkpointed, dealt, join_hot, release
+from arborlane.llm.common import BROADCAST_ROWS, checkpointed, dealt, give_back, join_hot, release
 from arborlane.llm.graph import components
 
 SHINGLE = 5
@@ -204,6 +204,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, names, sets, size = number + 1, [], [], 0
     if names:
         yield closed()
+    give_back()
 
 
 def _unpack(row: dict) -> list[np.ndarray]:
@@ -350,40 +351,43 @@ def _join_region(t: pa.Table) -> pa.Table:
     return _pairs_table(EDGE, links[:, 0], links[:, 1])
 
 
-def _to_pivots(row_pivots: dict[int, list[tuple[int, np.ndarray]]]):
-    """Distances of a large region's sets to its pivots: links and cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            rows = []
-            for region, name, keys in zip(*(x.column(c).to_pylist() for c in ("region", "set", "keys"))):
-                s = np.frombuffer(keys, np.uint64)
-                d, near = [], None
-                for other, p in row_pivots[region]:
-                    common = np.isin(s, p, assume_unique=True).sum()
-                    d.append(1 - common / (len(s) + len(p) - common))
-                    near = other if near is None and 100 * common >= 80 * (len(s) + len(p) - common) else near
-                d = np.array(d)[:, None]
-                for cell, members in enumerate(cells_of(d)):
-                    if len(members):
-                        rows.append((region, cell, name, float(d[cell, 0]) if cell < len(d) else 1.0, near if near is not None else name))
-            yield B.batch("region long, cell int, set long, d double, link long", rows)
-
-    return run
-
-
-def _split(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Large regions (region, set, n, keys, central) by the cells of their pivots. What
-    a pivot has linked stays only if a set outside may still link with it."""
-    spark = rows.sparkSession
-    rank = F.xxhash64("set")
-    few = rows.groupBy("region").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(rank, F.lit(997)) < 5, F.col("set")))), 1, PIVOTS // 2).alias("some"), F.max_by("set", F.struct("central", "set")).alias("top"))
-    # at most PIVOTS sets of each large region, of which there are as many as fit REGION_SHINGLES
-    picked = few.select("region", F.explode(F.array_union("some", F.array("top"))).alias("set"))
-    pivots: dict[int, list] = {}
-    for x in rows.join(F.broadcast(picked), ["region", "set"]).select("region", "set", "keys").orderBy("region", "set").toLocalIterator():
-        pivots.setdefault(x["region"], []).append((x["set"], np.frombuffer(bytes(x["keys"]), np.uint64)))
-    placed = checkpointed(rows.select("region", "set", "keys").mapInArrow(_to_pivots(pivots), "region long, cell int, set long, d double, link long"))
+PLACED = "region long, cell int, set long, d double, link long"
+
+
+def _place(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Distances of some of a large region's sets to its pivots: links and cells."""
+    order = np.argsort(pivots.column("set").to_pylist())
+    names = [pivots.column("set")[int(i)].as_py() for i in order]
+    keys = [np.frombuffer(pivots.column("keys")[int(i)].as_py(), np.uint64) for i in order]
+    out = []
+    for region, name, raw in zip(*(rows.column(c).to_pylist() for c in ("region", "set", "keys"))):
+        s = np.frombuffer(raw, np.uint64)
+        common = np.array([np.isin(s, p, assume_unique=True).sum() for p in keys])
+        union = len(s) + np.array([len(p) for p in keys]) - common
+        near = np.flatnonzero(100 * common >= 80 * union)
+        d = (1 - common / union)[:, None]
+        for cell, members in enumerate(cells_of(d)):
+            if len(members):
+                out.append((region, cell, name, float(d[cell, 0]) if cell < len(d) else 1.0, names[near[0]] if len(near) else name))
+    return B.table(PLACED, out)
+
+
+def _split(rows: DataFrame, large: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Large regions (region, set, n, keys, central) by the cells of their pivots, each
+    region dealt over as many tasks as it has REGION_SHINGLES. What a pivot has linked
+    stays only if a set outside may still link with it."""
+    tasks = large.select("region", F.ceil(F.col("__n") / REGION_SHINGLES).cast("int").alias("tasks"))
+    tasks = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
+    few = rows.groupBy("region").agg(
+        F.min_by("set", F.xxhash64("set")).alias("some"), F.max_by("set", F.struct("central", "set")).alias("top"),
+        *[F.min_by("set", F.xxhash64(F.lit(k), "set")).alias(f"p{k}") for k in range(PIVOTS // 2)])
+    picked = few.select("region", F.explode(F.array_distinct(F.array("some", "top", *[f"p{k}" for k in range(PIVOTS // 2)]))).alias("set"))
+    picked = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    pivots = rows.join(picked, ["region", "set"]).select("region", "set", "keys").join(tasks, "region")
+    pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    pivots = pivots.select(*[F.col(c).alias(c) for c in pivots.columns])  # columns of their own, apart from those of rows
+    parts = rows.select("region", "set", "keys").join(tasks, "region").withColumn("part", F.pmod(F.xxhash64("set"), F.col("tasks")).cast("int")).drop("tasks")
+    placed = checkpointed(parts.groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(_place, PLACED))
     found.append(placed.filter("set <> link").select(F.col("set").alias("a"), F.col("link").alias("b")))
     open_at = placed.groupBy("region", "cell").agg(F.min(F.when(F.col("d") > NEAR, F.col("d"))).alias("out"))
     open_at = F.broadcast(open_at) if open_at.count() <= BROADCAST_ROWS else open_at
@@ -406,18 +410,18 @@ def _by_parts(rows: DataFrame) -> DataFrame:
 def _links(rows: DataFrame) -> DataFrame:
     """Links between the sets of each region (region, set, n, keys, central)."""
     found: list[DataFrame] = []
-    small = lambda x, large: x.join(F.broadcast(large), "region", "left_anti")
+    small = lambda x, large: x.join(F.broadcast(large.select("region")), "region", "left_anti")
     leaves: list[DataFrame] = []
     for left in range(SPLITS, -1, -1):
         # at most the total over REGION_SHINGLES regions are large
-        large = checkpointed(rows.groupBy("region").agg(F.sum("n").alias("__n"), F.count("*").alias("__c")).filter(f"__n > {REGION_SHINGLES} and __c > 2").select("region"))
+        large = checkpointed(rows.groupBy("region").agg(F.sum("n").alias("__n"), F.count("*").alias("__c")).filter(f"__n > {REGION_SHINGLES} and __c > 2"))
         if large.isEmpty():
             leaves.append(rows)
             break
         leaves.append(small(rows, large))
-        rows = rows.join(F.broadcast(large), "region", "left_semi")
+        rows = rows.join(F.broadcast(large.select("region")), "region", "left_semi")
         if left:
-            rows = _split(rows, found)
+            rows = _split(rows, large, found)
         else:
             leaves.append(_by_parts(rows))
     for x in leaves:

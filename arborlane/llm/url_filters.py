@@ -123,15 +123,18 @@ def rule_table(spark, rules) -> DataFrame:
 
 
 def judged(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict of the url."""
+    """pages with host, path, rule and verdict of the url, which take the place of columns
+    of these names."""
     host, path = parsed(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
+    rows = pages.select(F.struct(*pages.columns).alias("page"), host.alias("host"), path.alias("path"))
     each = checkpointed(rows.groupBy("host", "path").agg(F.count("*").alias("__n")))
     found = matched(each.select("host", "path"), rules)
     named = rules.select("rule_no", F.concat("host", "path").alias("rule"), "verdict")
     found = found.join(F.broadcast(named) if rules.count() <= BROADCAST_ROWS else named, "rule_no").drop("rule_no")
     hits = checkpointed(each.join(found, ["host", "path"]))
-    return join_hot(rows, hits, ["host", "path"], "__n").drop("__n").withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))
+    out = join_hot(rows, hits, ["host", "path"], "__n")
+    kept = [F.col("page")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
 
 
 def query(pages: DataFrame) -> DataFrame:

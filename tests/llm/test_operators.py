@@ -229,6 +229,10 @@ def test_urls(spark):
     got = sorted(map(tuple, url_filters.query(df).collect()), key=repr)
     assert got == sorted(((i, *_judge(u, url_filters.RULES)) for i, u in rows), key=repr)
     assert url_filters.query(df.limit(0)).isEmpty()
+    extra = df.withColumns({k: F.lit("?") for k in ("host", "rule", "verdict", "key", "__n", "len")})
+    same = url_filters.judged(extra, url_filters.rule_table(spark, url_filters.RULES))
+    assert sorted(map(tuple, same.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr) == got
+    assert same.filter("key = '?' and __n = '?' and len = '?'").count() == len(rows)
 
 
 def test_urls_many_rules(spark):
@@ -300,7 +304,8 @@ def test_bpe(docs, clashing, none, spark):
     for r in got:
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert list(r["ids"]) == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
-    assert bpe.encoded(clashing.drop("ids"), bpe.vocabulary()).count() == len(ROWS)
+    same = bpe.encoded(clashing, bpe.vocabulary())
+    assert same.columns == [*[c for c in clashing.columns if c != "ids"], "ids", "decoded"] and same.count() == len(ROWS)
     assert bpe.query(none).isEmpty()
 
 
@@ -370,6 +375,9 @@ def test_classifier(spark, none):
             assert r["predicted"] == int(bool(r["doc_id"] % 3))
     assert {r["score"] for r in quality_classifier.query(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_classifier.query(docs.limit(0), labels).isEmpty()
+    left = quality_classifier.accepted(docs, labels)
+    assert left.columns == docs.columns and {r["__score"] for r in left.collect()} == {"?"}
+    assert {r["doc_id"] for r in left.collect()} >= {i for i in range(240) if i % 3}
     held = quality_classifier.query(docs, labels.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, 1 - F.col("quality")).otherwise(F.col("quality"))))
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, got))  # held-out labels teach nothing
 
