@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's own, else one set here (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="arborlane-"))
+        given = spark.conf.get("spark.checkpoint.dir", "")
+        if not given:
+            given = tempfile.mkdtemp(prefix="arborlane-")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        sc.setCheckpointDir(given)
     return sc.getCheckpointDir()
 
 
