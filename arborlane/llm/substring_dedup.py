@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,20 +177,45 @@ def _ask_windows(window: int):
 def _send_windows(buckets: int):
     def f(row: dict) -> list[tuple]:
         keys, doc = np.frombuffer(row["keys"], np.uint64), B.unpacked(row["doc"], np.int32)
-        ids = np.array([NONE if i is None else i for i in row["ids"]], np.int64)
-        key, count, low = _once(keys, ids[doc])
-        return B.asks(row["block"], key, count, low, buckets)
+        key, _, low = _once(keys, _doc_ids(row)[doc])
+        return [(*r[:3], b"", r[4]) for r in B.asks(row["block"], key, np.zeros(len(key)), low, buckets)]
 
     return f
 
 
-def _marks(row: dict, found) -> list[tuple]:
+def _lower(t: pa.Table) -> pa.Table:
+    """Of a bucket's windows: 1 where another block has a smaller document than the asking
+    one. What else is to know of a window, its block knows by itself."""
+    keys, low = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("low", np.int64)))
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+    least = np.empty(len(keys), np.int64)
+    least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    other = (least < low).astype(np.uint8)
+    rows, at = [], 0
+    for block, bucket, k in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), t.column("keys").to_pylist()):
+        n = len(k) // 8
+        rows.append((block, bucket, other[at : at + n].tobytes(), b""))
+        at += n
+    return B.table(B.ANSWER, rows)
+
+
+def _marked(left: pa.Table, right: pa.Table) -> pa.Table:
     """Of a block: the starts of the windows that a smaller doc_id also has."""
-    keys, doc = np.frombuffer(row["keys"], np.uint64), B.unpacked(row["doc"], np.int32)
-    ids = np.array([NONE if i is None else i for i in row["ids"]], np.int64)
-    key = np.unique(keys)
-    gone = found[1][np.searchsorted(key, keys)] < ids[doc] if len(keys) else np.zeros(0, bool)
-    return [(row["block"], 0, B.unpacked(row["at"], np.int64)[gone].tobytes(), b"")]
+    other = np.frombuffer(b"".join(right.sort_by("bucket").column("count").to_pylist()), np.uint8)
+    rows = []
+    for row in left.to_pylist():
+        keys, doc = np.frombuffer(row["keys"], np.uint64), B.unpacked(row["doc"], np.int32)
+        ids = _doc_ids(row)[doc]
+        key, _, low = _once(keys, ids)
+        at = np.searchsorted(key, keys)
+        gone = (other[at] > 0) | (low[at] < ids) if len(keys) else np.zeros(0, bool)
+        rows.append((row["block"], 0, B.unpacked(row["at"], np.int64)[gone].tobytes(), b""))
+    return B.table(B.ANSWER, rows)
+
+
+def _doc_ids(row: dict) -> np.ndarray:
+    return np.array([NONE if i is None else i for i in row["ids"]], np.int64)
 
 
 def _cut(window: int, digest: bool):
@@ -213,8 +239,6 @@ def _cut(window: int, digest: bool):
 def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words, joined by one space (or, with
     digest, their SHA-256), of every row."""
-    import pyarrow as pa
-
     spark = docs.sparkSession
     blocks = B.token_blocks(docs, False, doc_id, text)
     n = blocks.agg(F.sum("n_tokens")).first()[0] or 0
@@ -225,8 +249,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     release(spark)
     many = live.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = B.buckets_for(many // 8, spark)
-    asked = B.each_block(live, _send_windows(buckets), B.ASK)
-    marks = B.with_answers(live, B.answers(asked), _marks, B.ANSWER)
+    told = B.each_block(live, _send_windows(buckets), B.ASK).groupBy("bucket").applyInArrow(_lower, B.ANSWER)
+    marks = live.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_marked, B.ANSWER)
     cut = _cut(window, digest)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
