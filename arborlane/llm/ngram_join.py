@@ -319,19 +319,18 @@ class Region:
                 self._leaf(part) if len(part) > 0.8 * len(among) else self._join(part, depth + 1)
 
     def _leaf(self, among: np.ndarray) -> None:
-        """Sets outside the largest component are pivots, the most central first: two sets
-        of different components are not both in it, so each link is seen from one end."""
-        left = among[np.argsort(-self.central[among], kind="stable")]
-        left = left[~self.done[left]]
-        while len(left):
-            root = self.root[among]
-            names, sizes = np.unique(root, return_counts=True)
-            if len(names) == 1:
+        """Sets outside one component, the largest at the start, are pivots, the most
+        central first: a set is passed over only while it is in that component, and two
+        sets of different components are not both in it, so each link is seen from one end."""
+        order = among[np.argsort(-self.central[among], kind="stable")]
+        names, at, sizes = np.unique(self.root[order], return_index=True, return_counts=True)
+        fixed = order[at[sizes.argmax()]]  # stays in its component, whatever that is called later
+        while True:
+            left = order[~self.done[order] & (self.root[order] != self.root[fixed])]
+            if not len(left):
                 return
-            left = left[self.root[left] != names[sizes.argmax()]] if sizes.max() > 1 else left
             for p in left[:32].tolist():
                 self.distances(p)
-            left = left[32:]
 
 
 def cells_of(d: np.ndarray) -> list[np.ndarray]:

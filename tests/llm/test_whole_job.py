@@ -1,0 +1,83 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import random
+
+import numpy as np
+import pytest
+
+from arborlane.llm import ngram_join
+
+
+def _roots(sets):
+    """The component of each set under J >= 0.8, by brute force."""
+    plain = [{*s.tolist()} for s in sets]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b]):
+                root[find(a)] = find(b)
+    return [find(i) for i in range(len(sets))]
+
+
+def _same(got, want):
+    pairs = set(zip(got, want))
+    return len(pairs) == len({g for g, _ in pairs}) == len({w for _, w in pairs})
+
+
+def _linked(region):
+    """Components from the links that a region returns."""
+    root = list(range(len(region.sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in region.links:
+        root[find(a)] = find(b)
+    return [find(i) for i in range(len(root))]
+
+
+def _window(at, size=40):
+    return set(range(1000 + at, 1000 + at + size))
+
+
+def test_leaf_keeps_bridge():
+    """A chain of 100 overtakes the 71 copies that were largest; one pair joins the two,
+    and neither of its sets is ever a pivot if both components are passed over."""
+    chain = [_window(2 * i) for i in range(100)]
+    bridge, hub = _window(202), _window(206)
+    copies = [hub, *[hub - {1206 + i % 40} | {9000 + i} for i in range(69)]]
+    sets = [np.array(sorted(s), np.uint64) for s in [*chain, bridge, *copies]]
+    first = [101, *range(3, 100, 5), *range(5, 99, 5), *[i for i in range(20, 90) if i % 5 not in (0, 3)]]
+    central = np.zeros(len(sets))
+    central[first] = np.arange(len(first), 0, -1)
+    region = ngram_join.Region(list(range(len(sets))), sets, central.tolist())
+    region.join()
+    want = _roots(sets)
+    assert len(set(want)) == 1
+    assert _same(_linked(region), want) and _same(region.root.tolist(), want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaf_of_hundreds(seed):
+    """Chains, tight clusters and bridges among several hundred sets, in one leaf."""
+    rnd = random.Random(seed)
+    sets, at = [], 0
+    for _ in range(8):
+        for _ in range(rnd.randrange(10, 50)):
+            sets.append(_window(at))
+            at += rnd.choice([2, 4, 4])
+        hub = _window(at)
+        sets += [hub - {rnd.choice(sorted(hub))} | {9000 + rnd.randrange(500)} for _ in range(rnd.randrange(10, 50))]
+        at += rnd.choice([4, 6, 8])
+    sets = [np.array(sorted(s), np.uint64) for s in sets]
+    region = ngram_join.Region(list(range(len(sets))), sets, [rnd.random() for _ in sets])
+    region._leaf(np.arange(len(sets)))
+    assert len(sets) > 300 and _same(_linked(region), _roots(sets))
