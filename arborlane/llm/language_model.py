@@ -8,11 +8,10 @@ N_k and V_k the tokens and distinct words of the class in training; unseen words
 one part. So the model is a proper distribution over known words and "unseen".
 
 All training tokens are counted (each block sends its words with their counts and
-learns the totals). Baum-Welch first improves a random start on a bounded number of
-blocks (START_BLOCKS), which only chooses where the climb begins; then FULL_ROUNDS
-rounds run over all training documents, with the expected counts of all partitions
-added up, and the last one sets the model. The likelihood of a text is the scaled
-forward recursion over its classes, plus the words' shares of their classes.
+learns the totals). Baum-Welch improves a random start in ROUNDS rounds, each over all
+training documents, whole, with the expected counts of all partitions added up; the
+last one sets the model. The likelihood of a text is the scaled forward recursion over
+its classes, plus the words' shares of their classes.
 
 Defined cases: a null or empty text is the end token alone; held-out rows do not train;
 with nothing to train on all counts are 0 and scores are those of uniform tables;
@@ -31,18 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm import blocks as B
-from arborlane.llm.common import checkpointed, dealt, release
+from arborlane.llm.common import checkpointed, release
 
 STATES = 8
 FREQUENT = 4_000
 TAILS = 1_500
-START_BLOCKS, START_ROUNDS, FULL_ROUNDS = 24, 6, 2
+ROUNDS = 8
 FOLDS, HELD = 7, 2
 #: Sequences, and cells of their table, that the recursion takes at a time.
 LANES, CELLS = 2_048, 250_000
-#: Training cuts documents into pieces of this many tokens (scoring does not): a piece
-#: after the first starts from the chain's stationary distribution.
-PIECE = 192
 
 
 def held_out(doc: int | None, folds: int = FOLDS, held: int = HELD) -> bool:
@@ -123,30 +119,24 @@ def _sum_stats(batches):
 # ---- forward and backward ------------------------------------------------------------
 
 
-def lanes(x: B.Block, kinds: np.ndarray, use: np.ndarray, cut: int | None = None):
-    """Groups of sequences as a table of classes, a column each, longest first, closed by
-    the end class: the documents, the table, the number of sequences still running at
-    each step, and which of them are beginnings. With cut, long documents come in pieces."""
+def lanes(x: B.Block, kinds: np.ndarray, use: np.ndarray):
+    """Groups of documents as a table of classes, a column each, longest first, closed by
+    the end class: the documents, the table, and the number of them still running at each
+    step."""
     starts = x.starts
     kind = kinds[x.codes].astype(np.int32) if len(x.codes) else np.zeros(0, np.int32)
-    parts = []
-    for i in use.tolist():
-        n = int(x.lens[i]) + 1
-        step = cut or n
-        parts.extend((min(step, n - at), i, at, n) for at in range(0, n, step))
-    parts.sort(key=lambda p: (-p[0], p[1], p[2]))
+    parts = sorted(((int(x.lens[i]) + 1, i) for i in use.tolist()), key=lambda p: (-p[0], p[1]))
     at = 0
     while at < len(parts):
         longest = parts[at][0]
         group = parts[at : at + max(1, min(LANES, CELLS // longest))]
         at += len(group)
         table = np.full((longest, len(group)), TAILS, np.int32)
-        for j, (size, i, begin, n) in enumerate(group):
-            words = min(size, n - 1 - begin)
-            table[:words, j] = kind[starts[i] + begin : starts[i] + begin + words]
+        for j, (size, i) in enumerate(group):
+            table[: size - 1, j] = kind[starts[i] : starts[i] + size - 1]
         sizes = np.array([p[0] for p in group])
         live = len(group) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
-        yield np.array([p[1] for p in group]), table, live, np.array([p[2] == 0 for p in group])
+        yield np.array([p[1] for p in group]), table, live
 
 
 def likelihood(table, live, pi, a, b):
@@ -163,33 +153,47 @@ def likelihood(table, live, pi, a, b):
     return out
 
 
-def expected(table, live, first, pi, a, b):
-    """Expected counts of starts, transitions and (state, class) emissions. A piece that
-    continues a document starts from the chain's own distribution."""
+def expected(table, live, pi, a, b):
+    """Expected counts of starts, transitions and (state, class) emissions. Of a table
+    over CELLS, only the forward vectors at the bounds of stretches are kept; each stretch
+    runs again on the way back, so nothing is cut."""
     steps, width = table.shape
-    k = len(pi)
-    alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
-    x = np.where(first[:, None], pi, np.linalg.matrix_power(a, 64)[0]) * b[table[0]]
-    for t in range(steps):
-        n = live[t]
-        if t:
-            x = (x[:n] @ a) * b[table[t, :n]]
-        s = x.sum(1)
-        x = x / s[:, None]
-        alpha[t, :n], scale[t, :n] = x, s
-    beta = np.ones((width, k))
-    pairs, emitted = np.zeros((k, k)), np.zeros((k, b.shape[0]))
-    for t in range(steps - 2, -1, -1):
-        n = live[t + 1]
-        y = b[table[t + 1, :n]] * beta[:n] / scale[t + 1, :n, None]
-        pairs += alpha[t, :n].T @ y
-        beta[:n] = y @ a.T
-        alpha[t, :n] *= beta[:n]
-    mask = np.arange(width)[None, :] < live[:, None]
-    flat, g = table[mask], alpha[mask]
-    for s in range(k):
-        emitted[s] = np.bincount(flat, g[:, s], b.shape[0])
-    return alpha[0][first].sum(0), pairs * a, emitted, float(np.log10(scale).sum())
+    k, stretch = len(pi), max(1, CELLS // width)
+
+    def forward(begin: int, x):
+        end = min(begin + stretch, steps)
+        alpha, scale = np.zeros((end - begin, width, k)), np.ones((end - begin, width))
+        for t in range(begin, end):
+            n = live[t]
+            x = (x[:n] @ a if t else pi) * b[table[t, :n]]
+            s = x.sum(1)
+            x /= s[:, None]
+            alpha[t - begin, :n], scale[t - begin, :n] = x, s
+        return alpha, scale, x
+
+    begins, enter, x, ll = range(0, steps, stretch), [], None, 0.0
+    for begin in begins:
+        enter.append(x)
+        alpha, scale, x = forward(begin, x)
+        ll += float(np.log10(scale).sum())
+    at = np.ones((width, k))  # the backward vectors, of sequences that end as ones
+    pairs, emitted, y = np.zeros((k, k)), np.zeros((k, b.shape[0])), None
+    for begin, x in zip(reversed(begins), reversed(enter)):
+        if begin != begins[-1]:
+            alpha, scale, _ = forward(begin, x)
+        for t in range(begin + len(alpha) - 1, begin - 1, -1):
+            if t + 1 < steps:  # y: of the step after
+                n = live[t + 1]
+                pairs += alpha[t - begin, :n].T @ y
+                at[:n] = y @ a.T
+            n = live[t]
+            alpha[t - begin, :n] *= at[:n]
+            y = b[table[t, :n]] * at[:n] / scale[t - begin, :n, None]
+        mask = np.arange(width)[None, :] < live[begin : begin + len(alpha), None]
+        flat, g = table[begin : begin + len(alpha)][mask], alpha[mask]
+        for s in range(k):
+            emitted[s] += np.bincount(flat, g[:, s], b.shape[0])
+    return alpha[0].sum(0), pairs * a, emitted, ll
 
 
 PART = "part int, counts binary"
@@ -203,8 +207,8 @@ def _expect(model, params, folds, held):
         use = np.array([i for i, d in enumerate(x.ids) if not held_out(d, folds, held)], np.int64)
         kinds = model.classify(B.word_keys(x.words), tails(x.words))
         out = np.zeros(len(pi) * (1 + len(pi) + b.shape[0]) + 1)
-        for _, table, live, first in lanes(x, kinds, use, PIECE):
-            p, q, e, ll = expected(table, live, first, pi, a, b)
+        for _, table, live in lanes(x, kinds, use):
+            p, q, e, ll = expected(table, live, pi, a, b)
             out += np.concatenate((p, q.ravel(), e.ravel(), [ll]))
         return [(int(x.block % 1009), out.tobytes())]
 
@@ -265,7 +269,7 @@ def _score(model: Model, params, folds: int, held: int):
         end = math.log10((model.ends + 1) / (n + v + 1))
         known, base_of, share_of = of((count > 0).astype(np.int64)), of(base) + end, of(share)
         ll = np.zeros(len(x.ids))
-        for group, table, live, _ in lanes(x, kinds, np.arange(len(x.ids))):
+        for group, table, live in lanes(x, kinds, np.arange(len(x.ids))):
             ll[group] = likelihood(table, live, pi, a, b)
         return [
             (d, held_out(d, folds, held), int(x.lens[i]) + 1, int(known[i]) + int(model.ends > 0), n, float(base_of[i]), float(ll[i] + share_of[i]))
@@ -302,12 +306,7 @@ def scored(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str =
     of_tail = of_tail - np.bincount(kind, minlength=TAILS)
     model = Model(keys, in_tail, of_tail, total, distinct, ends)
     params = _start(model, top)
-    chosen = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(START_BLOCKS).collect()]
-    some = dealt(blocks.filter(F.col("block").isin(chosen)), "block", START_BLOCKS)
-    for _ in range(START_ROUNDS):
-        params, _ = _round(some, model, params, folds, held)
-    release(spark)
-    for _ in range(FULL_ROUNDS):
+    for _ in range(ROUNDS):
         params, _ = _round(blocks, model, params, folds, held)
     return B.with_answers(blocks, found.filter("block >= 0"), _score(model, params, folds, held), SCORES)
 

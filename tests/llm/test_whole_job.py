@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from arborlane.llm import ngram_join
+from arborlane.llm import blocks, language_model, ngram_join
 
 
 def _roots(sets):
@@ -81,3 +81,34 @@ def test_leaf_of_hundreds(seed):
     region = ngram_join.Region(list(range(len(sets))), sets, [rnd.random() for _ in sets])
     region._leaf(np.arange(len(sets)))
     assert len(sets) > 300 and _same(_linked(region), _roots(sets))
+
+
+@pytest.mark.parametrize("cells", [250_000, 70])
+def test_training_carries_state(spark, monkeypatch, cells):
+    """Training sees a long document as one chain: its likelihood is that of scoring, and
+    its expected transitions are one fewer than its tokens."""
+    monkeypatch.setattr(language_model, "CELLS", cells)
+    rnd = random.Random(1)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(n))) for i, n in enumerate((900, 500, 193, 20, 1, 0))]
+    row = blocks.token_blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), True).collect()[0].asDict()
+    x = blocks.read_block(row)
+    count = np.zeros(language_model.TAILS, np.int64)
+    model = language_model.Model(np.zeros(0, np.uint64), count, count, 0, 0, 0)
+    rng = np.random.default_rng(0)
+    k = language_model.STATES
+    pi, a, b = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k) / 9, k), rng.dirichlet(np.ones(model.classes), k).T.copy()
+    out = np.frombuffer(language_model._expect(model, (pi, a, b), 7, -1)(row)[0][1])
+    kinds = model.classify(blocks.word_keys(x.words), language_model.tails(x.words))
+    want = sum(language_model.likelihood(table, live, pi, a, b).sum() for _, table, live, *_ in language_model.lanes(x, kinds, np.arange(len(x.ids))))
+    assert abs(out[-1] - want) < 1e-6
+    assert abs(out[:k].sum() - len(rows)) < 1e-6 and abs(out[k : k + k * k].sum() - x.lens.sum()) < 1e-6
+    assert abs(out[k + k * k : -1].sum() - x.lens.sum() - len(rows)) < 1e-6
+
+
+def test_every_round_trains_on_all_blocks(spark, monkeypatch):
+    rows = [(i, f"w{i} a b c") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    seen, real = [], language_model._round
+    monkeypatch.setattr(language_model, "_round", lambda b, *rest: (seen.append(sum(len(r["ids"]) for r in b.select("ids").collect())), real(b, *rest))[1])
+    assert language_model.scored(docs).count() == 60
+    assert len(seen) == 8 and set(seen) == {60}
