@@ -5,8 +5,9 @@ their form. They are the seeds of a bootstrap: the words around a seed are a lex
 pattern, and words that look like an identifier of the same kind, but miss the fixed
 form, are further instances of patterns. Pattern and instance confidences are computed
 in turn on the graph of both: a pattern has the mean confidence of its distinct
-instances, if enough of them are seeds; an instance has that of at least one of its
-patterns being right. Instances above the threshold are added; base spans all stay.
+instances, if enough of them are seeds or sure; an instance has that of at least one of its
+patterns being right. Instances above the threshold are added and support further
+patterns, until nothing changes; base spans all stay.
 
 Only DataFrame functions are used. The form of each kind is written so that Java's
 matcher takes time in proportion to the text: a run of characters is tried from its
@@ -42,10 +43,14 @@ WORDLIKE = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+"
 LOOKS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+",
     "ip": r"[0-9]+(?:[.:][0-9]+){2,5}",
-    "card": r"[0-9]{12,19}",
-    "phone": r"[0-9]{3}[.-]?[0-9]{3}[.-]?[0-9]{3,4}",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,18}",
+    "phone": r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{3,4}",
 }
-SEEDS, ROUNDS, SURE = 3, 3, 0.9
+#: Numbers that go on after a single separator, of which one is a space.
+SPACED = r"(?<![0-9])\(?+[0-9]++\)?+(?:[\x20.-]\(?+[0-9]++\)?+|(?<=\))[0-9]++)++"
+SEEDS, SURE = 3, 0.9
+#: Scores only rise; a round in which none rises by more than this is the last.
+STILL = 1e-6
 CONTEXT = 48
 CHUNK = 64
 
@@ -81,9 +86,14 @@ def spans(text: Column, form: str) -> Column:
     def placed(found: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
             sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
-            return let(sizes, lambda z: let(_ends(z), lambda e: F.transform(found, lambda m, i: F.struct(
+            # a match has a character at least, so CONTEXT of them are far enough
+            before = F.transform(found, lambda m, i: F.substring(F.concat(F.get(gaps, i), m), -CONTEXT, CONTEXT))
+            after = F.transform(found, lambda m, i: F.substring(F.concat(m, F.get(gaps, i + 1)), 1, CONTEXT))
+            left = lambda b, i: F.concat(F.array_join(F.slice(b, F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))), ""), F.get(gaps, i))
+            right = lambda a, i: F.concat(F.get(gaps, i + 1), F.array_join(F.slice(a, i + 2, CONTEXT), ""))
+            return let(sizes, lambda z: let(_ends(z), lambda e: let(before, lambda b: let(after, lambda a: F.transform(found, lambda m, i: F.struct(
                 (F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), m.alias("t"),
-                F.substring(F.get(gaps, i), -CONTEXT, CONTEXT).alias("l"), F.substring(F.get(gaps, i + 1), 1, CONTEXT).alias("r")))))
+                F.substring(left(b, i), -CONTEXT, CONTEXT).alias("l"), F.substring(right(a, i), 1, CONTEXT).alias("r")))))))
 
         return let(F.split(text, form, -1), with_gaps)
 
@@ -121,6 +131,19 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.array_compact(made)
 
 
+def _looks() -> Column:
+    """What in a candidate word or number w looks like an identifier, with its place and
+    the text before and after; the rest of its own word is not context."""
+
+    def look(k: str) -> Column:
+        return F.transform(spans(F.col("w.t"), LOOKS[k]), lambda x: F.struct(
+            F.lit(k).alias("kind"), x["t"].alias("i"), (F.col("w.s") + x["s"]).alias("s"), (F.col("w.s") + x["e"]).alias("e"),
+            F.concat(F.col("w.l"), F.regexp_replace(F.substring(F.col("w.t"), F.lit(1), x["s"]), rf"[^{_WS}]+$", "")).alias("l"),
+            F.concat(F.substring(F.col("w.t"), x["e"] + 1, F.length("w.t")), F.col("w.r")).alias("r")))
+
+    return F.flatten(F.array(*[look(k) for k in KINDS]))
+
+
 def _learned(found: DataFrame) -> DataFrame:
     """(kind, instance) of the discovered identifiers. found: a row for each document
     with its base spans and candidate words."""
@@ -128,20 +151,20 @@ def _learned(found: DataFrame) -> DataFrame:
     seeds = F.flatten(F.array(*[seed(k) for k in KINDS]))
     seen = found.select(F.explode(seeds).alias("x")).select("x.*").select("kind", F.lower("i").alias("i"), F.explode(_patterns(F.col("l"), F.col("r"))).alias("p"))
     seen = seen.groupBy("kind", "p", "i").agg(F.count("*").alias("n")).withColumn("seed", F.lit(True))
-    look = lambda k: F.transform(F.regexp_extract_all(F.col("w.t"), F.lit(LOOKS[k]), 0), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("i")))
-    looks = F.flatten(F.array(*[look(k) for k in KINDS]))
     whole = F.regexp_like("w.t", F.lit(FORMS["email"])) | F.regexp_like("w.t", F.lit(FORMS["ip"]))  # a word with a base span is no candidate
-    other = found.select(F.explode("words").alias("w")).filter(~whole).select(F.explode(looks).alias("x"), F.col("w.l").alias("l"), F.col("w.r").alias("r"))
-    other = other.filter((F.col("x.kind") != "card") | ~_passes("card", F.col("x.i"))).select("x.kind", F.lower("x.i").alias("i"), F.explode(_patterns(F.col("l"), F.col("r"))).alias("p"))
+    other = found.select(F.explode("words").alias("w")).filter(~whole).select(F.explode(_looks()).alias("x"))
+    other = other.filter((F.col("x.kind") != "card") | ~_passes("card", F.col("x.i"))).select("x.kind", F.lower("x.i").alias("i"), F.explode(_patterns(F.col("x.l"), F.col("x.r"))).alias("p"))
     other = other.groupBy("kind", "p", "i").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))
     graph = seen.unionByName(other).groupBy("kind", "p", "i").agg(F.max("seed").alias("seed"))
     known = graph.filter("seed").select("kind", "i").distinct().withColumn("known", F.lit(True))
     graph = checkpointed(graph.join(known, ["kind", "i"], "left").select("kind", "p", "i", F.coalesce("known", F.lit(False)).alias("seed"), F.when(F.col("known"), 1.0).otherwise(0.0).alias("score")))
-    for _ in range(ROUNDS):
-        pattern = graph.groupBy("kind", "p").agg(F.count_if("seed").alias("seeds"), F.avg("score").alias("conf"))
+    rises = 1.0
+    while rises > STILL:
+        pattern = graph.groupBy("kind", "p").agg(F.count_if(F.col("score") >= SURE).alias("seeds"), F.avg("score").alias("conf"))
         pattern = pattern.filter((F.col("seeds") >= SEEDS) & (F.col("conf") >= 0.5)).select("kind", "p", "conf")
         score = graph.filter(~F.col("seed")).join(pattern, ["kind", "p"]).groupBy("kind", "i").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("conf"))))).alias("new"))
-        graph = checkpointed(graph.join(score, ["kind", "i"], "left").select("kind", "p", "i", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0))).alias("score")))
+        graph = checkpointed(graph.join(score, ["kind", "i"], "left").select("kind", "p", "i", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0))).alias("score"), F.col("score").alias("was")))
+        rises = graph.agg(F.max(F.col("score") - F.col("was"))).first()[0] or 0.0
     return graph.filter(~F.col("seed") & (F.col("score") >= SURE)).select("kind", "i").distinct()
 
 
@@ -150,16 +173,15 @@ def found_in(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     structs of kind, s and e."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("__t"))
-    words = F.when(F.regexp_like("__t", F.lit("[0-9@]")), spans(F.col("__t"), WORDLIKE)).otherwise(F.array().cast(_SPAN))
+    spaced = F.filter(spans(F.col("__t"), SPACED), lambda x: F.contains(x["t"], F.lit(" ")))
+    words = F.when(F.regexp_like("__t", F.lit("[0-9@]")), F.concat(spans(F.col("__t"), WORDLIKE), spaced)).otherwise(F.array().cast(_SPAN))
     found = rows.select("doc_id", F.monotonically_increasing_id().alias("__row"), *[c.alias(k) for k, c in base(F.col("__t")).items()], words.alias("words"))
     found = checkpointed(found)
     new = checkpointed(_learned(found))
     small = new.count() <= BROADCAST_ROWS
-    look = lambda k: F.transform(F.regexp_extract_all(F.col("w.t"), F.lit(LOOKS[k]), 0), lambda m: F.struct(
-        F.lit(k).alias("kind"), F.lower(m).alias("i"), (F.col("w.s") + F.instr(F.col("w.t"), m) - 1).alias("s"), F.length(m).alias("n")))
-    looks = F.flatten(F.array(*[look(k) for k in KINDS]))
-    placed = found.select("__row", F.explode("words").alias("w")).select("__row", F.explode(looks).alias("x")).select("__row", "x.*")
-    placed = placed.join(F.broadcast(new) if small else new, ["kind", "i"]).select("__row", F.struct("kind", "s", (F.col("s") + F.col("n")).alias("e")).alias("x"))
+    placed = found.select("__row", F.explode("words").alias("w")).select("__row", F.explode(_looks()).alias("x"))
+    placed = placed.select("__row", "x.kind", F.lower("x.i").alias("i"), "x.s", "x.e")
+    placed = placed.join(F.broadcast(new) if small else new, ["kind", "i"]).select("__row", F.struct("kind", "s", "e").alias("x"))
     added = placed.groupBy("__row").agg(F.collect_set("x").alias("added"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     out = found.drop("words").join(added, "__row", "left")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from arborlane.llm import blocks, language_model, ngram_join
+from arborlane.llm import blocks, language_model, ngram_join, private_data
 
 
 def _roots(sets):
@@ -112,3 +112,17 @@ def test_every_round_trains_on_all_blocks(spark, monkeypatch):
     monkeypatch.setattr(language_model, "_round", lambda b, *rest: (seen.append(sum(len(r["ids"]) for r in b.select("ids").collect())), real(b, *rest))[1])
     assert language_model.scored(docs).count() == 60
     assert len(seen) == 8 and set(seen) == {60}
+
+
+def test_private_data_learns_on(spark):
+    """Generations after the first, numbers across separators, and context after a word
+    that is itself a candidate."""
+    rows = [(i, f"please write to mailbox user{i}@site{i}.example.org about item") for i in range(6)]
+    rows += [(20 + i, f"please write to mailbox root@host{chr(97 + i)} about item") for i in range(4)]
+    rows += [(30 + i, f"the operator desk root@host{chr(97 + i)} knows") for i in range(4)]
+    rows += [(40, "the operator desk chief@tower knows"), (41, "line2 mailbox 2 chief@gate about item")]
+    rows += [(50 + i, f"my telephone number +1 555 123 456{i} is new") for i in range(6)] + [(60, "my telephone number (555) 123 4567 is new")]
+    rows += [(70 + i, f"at level2 user{i}@site{i}.example.org sits") for i in range(6)] + [(80, "at level2 boss@home sits")]
+    got = {r["doc_id"]: r["spans"] for r in private_data.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20].startswith("email:24:") and got[40] == "email:18:29"
+    assert got[60] == "phone:20:34" and got[80] == "email:10:19"
