@@ -155,7 +155,12 @@ def affected(t):
 
 @query("closure_sizes", f"with recursive {EDGES}, w as (select src as root, dst as name from edges where src like 'c%' or src like 's%' union select root, dst from edges join w on src = name) select root, cast(count(*) as bigint) as size from w group by root")
 def closure_sizes(t):
-    e = D.edges(t).filter(F.substring("src", 1, 1).isin("c", "s", "n"))
-    up = e.filter("src like 'c%' or src like 's%'").select(F.col("src").alias("root"), F.col("dst").alias("name"))
-    more = up.join(e.withColumnRenamed("src", "name"), "name").select("root", F.col("dst").alias("name"))
-    return up.union(more).distinct().groupBy("root").agg(F.count("*").alias("size"))
+    e = D.edges(t)
+    return G.closure_sizes(e, e.filter("src like 'c%' or src like 's%'").select(F.col("src").alias("root")))
+
+
+@query("closure_sizes_all", f"with recursive {EDGES}, w as (select src as root, dst as name from edges union select root, dst from edges join w on src = name) select root, cast(count(*) as bigint) as size from w group by root")
+def closure_sizes_all(t):
+    """Of every node with an edge: closure_sizes has the customers and suppliers only."""
+    e = D.edges(t)
+    return G.closure_sizes(e, e.select(F.col("src").alias("root")))

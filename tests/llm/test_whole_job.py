@@ -126,3 +126,11 @@ def test_private_data_learns_on(spark):
     got = {r["doc_id"]: r["spans"] for r in private_data.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[20].startswith("email:24:") and got[40] == "email:18:29"
     assert got[60] == "phone:20:34" and got[80] == "email:10:19"
+
+
+def test_closure_sizes_of_every_node(spark, sf_dir):
+    """Orders and parts have closures too; its SQL is checked with all others."""
+    from arborlane.plans import catalog
+
+    got = {r["root"][0] for r in catalog.queries()["closure_sizes_all"](spark, sf_dir).select("root").collect()}
+    assert got == set("opcsn")
