@@ -96,6 +96,13 @@ def sketch(t):
     return C.sketch(c, "doc_id", "part")
 
 
+@query("content_sketch")
+def content_sketch(t):
+    """As sketch, over content-defined sub-chunks, which cover the whole text."""
+    c = C.content_chunks(t.documents, "doc_id", "text", 256)
+    return C.sketch(c, "doc_id", "digest")
+
+
 @query("sketch_neighbors", f"""with {CHUNKS}, h as (select distinct doc_id, substr(sha256(substr(chunk, 1, 64)), 1, 16) as h from chunks), r as (select *, row_number() over (partition by doc_id order by h) as k from h), s as (select doc_id, h from r where k <= 8),
   first as (select h, min(doc_id) as base from s group by h), v as (select s.doc_id, base, count(*) as shared from s join first using (h) where base <> doc_id group by 1, 2), b as (select *, row_number() over (partition by doc_id order by shared desc, base) as k from v)
   select doc_id, base, cast(shared as bigint) as shared from b where k = 1""")
