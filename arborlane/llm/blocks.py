@@ -153,6 +153,19 @@ def sequence_keys(tokens: np.ndarray, width: int) -> np.ndarray:
     return mixed(out[:n])
 
 
+def numbers(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the smallest type that holds all of them, which leads."""
+    top = int(x.max(initial=0))
+    kind = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(d).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def read_numbers(parts: list[bytes]) -> np.ndarray:
+    """The numbers of all parts, one after another."""
+    found = [np.frombuffer(b, f"u{b[0]}", offset=1) for b in parts if b]
+    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
 def buckets_for(keys: int, spark) -> int:
     return max(partitions(spark), -(-keys // BUCKET_KEYS))
 
@@ -163,29 +176,30 @@ def asks(block: int, keys: np.ndarray, count: np.ndarray, low: np.ndarray, bucke
         return []
     at = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(at)) + 1
-    count, low = count.astype(np.uint32), low.astype(np.int64)
-    return [(block, int(at[i]), keys[i:j].tobytes(), count[i:j].tobytes(), low[i:j].tobytes()) for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)])))]
+    low = low.astype(np.int64)
+    return [(block, int(at[i]), keys[i:j].tobytes(), numbers(count[i:j]), low[i:j].tobytes()) for i, j in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)])))]
 
 
 def totals(t: pa.Table, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the asks of one bucket: distinct keys, their counts and lows, then for each
     key sent the index of its key, and the numbers of keys of the asks."""
-    keys, count, sent = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("count", np.uint32), ("low", np.int64)))
+    keys, sent = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("low", np.int64)))
+    count = read_numbers(t.column("count").to_pylist())
     low = sent if low is None else low
     sizes = np.array([len(b) // 8 for b in t.column("keys").to_pylist()])
     order = np.argsort(keys, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
     index = np.empty(len(keys), np.int64)
     index[order] = np.cumsum(np.concatenate(([False], keys[order][1:] != keys[order][:-1])))
-    return keys[order][first], np.add.reduceat(count[order].astype(np.int64), first), np.minimum.reduceat(low[order], first), index, sizes
+    return keys[order][first], np.add.reduceat(count[order], first), np.minimum.reduceat(low[order], first), index, sizes
 
 
 def _answer(t: pa.Table) -> pa.Table:
     _, count, low, index, sizes = totals(t)
-    count, low = count.clip(0, 2**32 - 1).astype(np.uint32)[index], low[index]
+    count, low = count[index], low[index]
     rows, at = [], 0
     for block, bucket, n in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), sizes):
-        rows.append((block, bucket, count[at : at + n].tobytes(), low[at : at + n].tobytes()))
+        rows.append((block, bucket, numbers(count[at : at + n]), low[at : at + n].tobytes()))
         at += n
     return table(ANSWER, rows)
 
@@ -198,7 +212,7 @@ def answers(asked: DataFrame) -> DataFrame:
 def answered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A block's answers, in the order of its sorted keys."""
     t = t.sort_by("bucket")
-    return tuple(np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("count", np.uint32), ("low", np.int64)))
+    return read_numbers(t.column("count").to_pylist()), np.frombuffer(b"".join(t.column("low").to_pylist()), np.int64)
 
 
 def with_answers(blocks: DataFrame, answer: DataFrame, f: Callable[[dict, tuple[np.ndarray, np.ndarray]], list[tuple]], schema: str) -> DataFrame:

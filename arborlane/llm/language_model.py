@@ -30,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm import blocks as B
-from arborlane.llm.common import checkpointed, release
+from arborlane.llm.common import checkpointed, give_back, release
 
 STATES = 8
 FREQUENT = 4_000
 TAILS = 1_500
 ROUNDS = 8
 FOLDS, HELD = 7, 2
-#: Sequences, and cells of their table, that the recursion takes at a time.
-LANES, CELLS = 2_048, 250_000
+#: Tokens of documents that go through a recursion side by side, and vectors of it that
+#: are kept at a time. Neither changes what is computed.
+GROUP, CELLS = 4_000_000, 500_000
 
 
 def held_out(doc: int | None, folds: int = FOLDS, held: int = HELD) -> bool:
@@ -92,9 +93,9 @@ def _answer(least: int):
         tail = np.frombuffer(b"".join(t.column("tail").to_pylist()), np.uint16).astype(np.int64)
         t = t.append_column("low", pa.array([b""] * t.num_rows, pa.binary()))
         keys, count, tail, index, sizes = B.totals(t, tail)
-        rows, at, sent = [], 0, count.clip(0, 2**32 - 1).astype(np.uint32)[index]
+        rows, at, sent = [], 0, count[index]
         for block, bucket, n in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), sizes):
-            rows.append((block, bucket, sent[at : at + n].tobytes(), b""))
+            rows.append((block, bucket, B.numbers(sent[at : at + n]), b""))
             at += n
         often, seen = count >= least, count > 0
         stats = [keys[often].view(np.int64), count[often], tail[often], np.bincount(tail[seen], count[seen], TAILS).astype(np.int64), np.bincount(tail[seen], minlength=TAILS).astype(np.int64)]
@@ -119,98 +120,142 @@ def _sum_stats(batches):
 # ---- forward and backward ------------------------------------------------------------
 
 
+def side_by_side(kinds: np.ndarray, lens: np.ndarray, use: np.ndarray):
+    """Documents as sequences of classes, each closed by the end class, one beside the
+    other, longest first: the documents, the classes step by step, and the number of
+    documents that are still running at each step. kinds: of all documents in a row."""
+    starts = np.cumsum(lens, dtype=np.int64) - lens
+    order = use[np.argsort(-lens[use], kind="stable")]
+    n = lens[order].astype(np.int64)
+    live = len(order) - np.searchsorted(n[::-1] + 1, np.arange(int(n.max(initial=-1)) + 1), side="right")
+    at = np.cumsum(live) - live
+    table = np.full(int(live.sum()), TAILS, np.int32)
+    first = np.cumsum(n) - n
+    step = np.arange(int(n.sum())) - np.repeat(first, n)
+    where = at[step] + np.repeat(np.arange(len(order)), n)
+    table[where] = kinds[np.repeat(starts[order], n) + step]
+    return order, table, live
+
+
 def lanes(x: B.Block, kinds: np.ndarray, use: np.ndarray):
-    """Groups of documents as a table of classes, a column each, longest first, closed by
-    the end class: the documents, the table, and the number of them still running at each
-    step."""
-    starts = x.starts
-    kind = kinds[x.codes].astype(np.int32) if len(x.codes) else np.zeros(0, np.int32)
-    parts = sorted(((int(x.lens[i]) + 1, i) for i in use.tolist()), key=lambda p: (-p[0], p[1]))
-    at = 0
-    while at < len(parts):
-        longest = parts[at][0]
-        group = parts[at : at + max(1, min(LANES, CELLS // longest))]
-        at += len(group)
-        table = np.full((longest, len(group)), TAILS, np.int32)
-        for j, (size, i) in enumerate(group):
-            table[: size - 1, j] = kind[starts[i] : starts[i] + size - 1]
-        sizes = np.array([p[0] for p in group])
-        live = len(group) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
-        yield np.array([p[1] for p in group]), table, live
+    """Groups of documents side by side."""
+    every = kinds[x.codes] if len(x.codes) else np.zeros(0, np.int64)
+    for part in np.array_split(use, -(-int((x.lens[use] + 1).sum()) // GROUP)) if len(use) else ():
+        yield side_by_side(every, x.lens, part)
 
 
 def likelihood(table, live, pi, a, b):
-    """Scaled forward recursion: log10 of the probability of each sequence."""
-    out = np.zeros(table.shape[1])
-    x = pi * b[table[0]]
-    for t in range(len(table)):
-        n = live[t]
-        if t:
-            x = (x[:n] @ a) * b[table[t, :n]]
-        s = x.sum(1)
-        x = x / s[:, None]
+    """Scaled forward recursion: log10 of the probability of each sequence. Vectors are
+    columns, a row for each state."""
+    out = np.zeros(live[0])
+    onward, of = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    at, x = 0, None
+    for n in live.tolist():
+        emit = of.take(table[at : at + n], axis=1)
+        x = emit * pi[:, None] if x is None else np.matmul(onward, x[:, :n]) * emit
+        s = x.sum(0)
+        x *= 1 / s
         out[:n] += np.log10(s)
+        at += n
     return out
 
 
 def expected(table, live, pi, a, b):
-    """Expected counts of starts, transitions and (state, class) emissions. Of a table
-    over CELLS, only the forward vectors at the bounds of stretches are kept; each stretch
-    runs again on the way back, so nothing is cut."""
-    steps, width = table.shape
-    k, stretch = len(pi), max(1, CELLS // width)
-
-    def forward(begin: int, x):
-        end = min(begin + stretch, steps)
-        alpha, scale = np.zeros((end - begin, width, k)), np.ones((end - begin, width))
-        for t in range(begin, end):
-            n = live[t]
-            x = (x[:n] @ a if t else pi) * b[table[t, :n]]
-            s = x.sum(1)
-            x /= s[:, None]
-            alpha[t - begin, :n], scale[t - begin, :n] = x, s
-        return alpha, scale, x
-
-    begins, enter, x, ll = range(0, steps, stretch), [], None, 0.0
-    for begin in begins:
+    """Expected counts of starts, transitions and (state, class) emissions, and log10 of the
+    likelihood. Only the forward vectors at the bounds of stretches of CELLS are kept; each
+    stretch runs again on the way back, so nothing is cut."""
+    steps, width, k = len(live), int(live[0]), len(pi)
+    at = np.concatenate(([0], np.cumsum(live)))
+    onward, of = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    bounds = [0]
+    while bounds[-1] < steps:
+        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(at, at[bounds[-1]] + CELLS, side="right")) - 1))
+
+    def forward(begin: int, end: int, x):
+        alpha = of.take(table[at[begin] : at[end]], axis=1)
+        scale = np.empty(alpha.shape[1])
+        ends = (at[begin : end + 1] - at[begin]).tolist()
+        for lo, hi in zip(ends, ends[1:]):
+            now = alpha[:, lo:hi]
+            now *= pi[:, None] if x is None else np.matmul(onward, x[:, : hi - lo])
+            s = now.sum(0, out=scale[lo:hi])
+            now *= 1 / s
+            x = now
+        return alpha, scale, x.copy()
+
+    stretches, enter, x, ll = list(zip(bounds, bounds[1:])), [], None, 0.0
+    for begin, end in stretches:
         enter.append(x)
-        alpha, scale, x = forward(begin, x)
+        alpha, scale, x = forward(begin, end, x)
         ll += float(np.log10(scale).sum())
-    at = np.ones((width, k))  # the backward vectors, of sequences that end as ones
+    beta = np.ones((k, width))  # the backward vectors, of sequences that end as ones
     pairs, emitted, y = np.zeros((k, k)), np.zeros((k, b.shape[0])), None
-    for begin, x in zip(reversed(begins), reversed(enter)):
-        if begin != begins[-1]:
-            alpha, scale, _ = forward(begin, x)
-        for t in range(begin + len(alpha) - 1, begin - 1, -1):
-            if t + 1 < steps:  # y: of the step after
-                n = live[t + 1]
-                pairs += alpha[t - begin, :n].T @ y
-                at[:n] = y @ a.T
-            n = live[t]
-            alpha[t - begin, :n] *= at[:n]
-            y = b[table[t, :n]] * at[:n] / scale[t - begin, :n, None]
-        mask = np.arange(width)[None, :] < live[begin : begin + len(alpha), None]
-        flat, g = table[begin : begin + len(alpha)][mask], alpha[mask]
+    for (begin, end), x in zip(reversed(stretches), reversed(enter)):
+        if end != steps:
+            alpha, scale, _ = forward(begin, end, x)
+        kinds = table[at[begin] : at[end]]
+        emit = of.take(kinds, axis=1)
+        emit *= 1 / scale
+        ends = (at[begin : end + 1] - at[begin]).tolist()
+        for lo, hi in zip(ends[-2::-1], ends[:0:-1]):
+            now = alpha[:, lo:hi]
+            if y is not None:  # of the step after
+                m = y.shape[1]
+                pairs += now[:, :m] @ y.T
+                beta[:, :m] = a @ y
+            y = emit[:, lo:hi]
+            y *= beta[:, : hi - lo]
+            now *= beta[:, : hi - lo]
+        y = y.copy()
         for s in range(k):
-            emitted[s] += np.bincount(flat, g[:, s], b.shape[0])
-    return alpha[0].sum(0), pairs * a, emitted, ll
+            emitted[s] += np.bincount(kinds, alpha[s], b.shape[0])
+    return alpha[:, :width].sum(1), pairs * a, emitted, ll
 
 
-PART = "part int, counts binary"
+CLASSED = "block long, ids array<long>, lens binary, kinds binary"
 
 
-def _expect(model, params, folds, held):
-    pi, a, b = params
+def _classed(model: Model):
+    """A block's documents as classes, which all rounds of training read."""
 
     def f(row: dict) -> list[tuple]:
         x = B.read_block(row)
-        use = np.array([i for i, d in enumerate(x.ids) if not held_out(d, folds, held)], np.int64)
-        kinds = model.classify(B.word_keys(x.words), tails(x.words))
-        out = np.zeros(len(pi) * (1 + len(pi) + b.shape[0]) + 1)
-        for _, table, live in lanes(x, kinds, use):
+        kinds = model.classify(B.word_keys(x.words), tails(x.words)).astype(np.uint16)
+        return [(x.block, x.ids, B.packed(x.lens), B.packed(kinds[x.codes] if len(x.codes) else kinds[:0]))]
+
+    return f
+
+
+PART = "part int, counts binary"
+
+
+def _expect(params, folds: int, held: int):
+    """Counts of the training documents of a partition's blocks, GROUP tokens at a time."""
+    pi, a, b = params
+
+    def f(batches):
+        out, kinds, lens, use, size = np.zeros(len(pi) * (1 + len(pi) + b.shape[0]) + 1), [], [], [], 0
+
+        def counted():
+            train = np.flatnonzero(np.concatenate(use))
+            if not len(train):
+                return 0.0
+            _, table, live = side_by_side(np.concatenate(kinds), np.concatenate(lens), train)
             p, q, e, ll = expected(table, live, pi, a, b)
-            out += np.concatenate((p, q.ravel(), e.ravel(), [ll]))
-        return [(int(x.block % 1009), out.tobytes())]
+            return np.concatenate((p, q.ravel(), e.ravel(), [ll]))
+
+        for x in batches:
+            for ids, n, k in zip(*(x.column(c).to_pylist() for c in ("ids", "lens", "kinds"))):
+                kinds.append(B.unpacked(k, np.uint16)), lens.append(B.unpacked(n, np.int32))
+                use.append([not held_out(d, folds, held) for d in ids])
+                size += len(kinds[-1]) + len(ids)
+                if size >= GROUP:
+                    out += counted()
+                    kinds, lens, use, size = [], [], [], 0
+        if size:
+            out += counted()
+        yield B.batch(PART, [(0, out.tobytes())])
+        give_back()
 
     return f
 
@@ -226,9 +271,9 @@ def _folded(batches):
         yield B.batch(PART, [(0, total.tobytes())])
 
 
-def _round(blocks: DataFrame, model: Model, params, folds: int, held: int):
-    """One round of Baum-Welch: counts of blocks, of partitions, of 16 groups of them."""
-    counts = B.each_block(blocks, _expect(model, params, folds, held), PART).mapInArrow(_folded, PART)
+def _round(classed: DataFrame, model: Model, params, folds: int, held: int):
+    """One round of Baum-Welch: counts of partitions, of 16 groups of them."""
+    counts = classed.mapInArrow(_expect(params, folds, held), PART)
     counts = counts.repartition(16).mapInArrow(_folded, PART)
     rows = [np.frombuffer(bytes(r["counts"])) for r in counts.select("counts").collect()]
     k, c = STATES, model.classes
@@ -260,7 +305,7 @@ def _score(model: Model, params, folds: int, held: int):
         x = B.read_block(row)
         word = B.word_keys(x.words)
         keys = np.unique(word)
-        count = found[0][np.searchsorted(keys, word)].astype(np.int64) if len(word) else np.zeros(0, np.int64)
+        count = found[0][np.searchsorted(keys, word)] if len(word) else np.zeros(0, np.int64)
         tail = tails(x.words)
         kinds = model.classify(word, tail)
         base = np.log10((count + 1) / (n + v + 1))
@@ -306,8 +351,11 @@ def scored(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str =
     of_tail = of_tail - np.bincount(kind, minlength=TAILS)
     model = Model(keys, in_tail, of_tail, total, distinct, ends)
     params = _start(model, top)
+    classed = checkpointed(B.each_block(blocks, _classed(model), CLASSED))
     for _ in range(ROUNDS):
-        params, _ = _round(blocks, model, params, folds, held)
+        params, _ = _round(classed, model, params, folds, held)
+    del classed
+    release(spark)
     return B.with_answers(blocks, found.filter("block >= 0"), _score(model, params, folds, held), SCORES)
 
 

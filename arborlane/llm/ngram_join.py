@@ -151,24 +151,23 @@ def _ask_first(buckets: int):
         if not sets:
             return []
         key, count = np.unique(np.concatenate([s[: _first(len(s))] for s in sets]), return_counts=True)
-        rows = B.asks(row["block"], key, np.minimum(count, 2), np.zeros(len(key)), buckets)
-        return [(*r[:3], np.frombuffer(r[3], np.uint32).astype(np.uint8).tobytes(), b"") for r in rows]
+        return [(*r[:4], b"") for r in B.asks(row["block"], key, np.minimum(count, 2), np.zeros(len(key)), buckets)]
 
     return f
 
 
 def _shared(t: pa.Table) -> pa.Table:
     """Of a bucket's keys: 1 where two sets or more have it."""
-    keys, count = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("keys", np.uint64), ("count", np.uint8)))
+    keys, count = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint64), B.read_numbers(t.column("count").to_pylist())
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     many = np.empty(len(keys), np.uint8)
     many[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
     many |= count > 1
     rows, at = [], 0
-    for block, bucket, b in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), t.column("count").to_pylist()):
-        rows.append((block, bucket, many[at : at + len(b)].tobytes(), b""))
-        at += len(b)
+    for block, bucket, b in zip(t.column("block").to_pylist(), t.column("bucket").to_pylist(), t.column("keys").to_pylist()):
+        rows.append((block, bucket, many[at : at + len(b) // 8].tobytes(), b""))
+        at += len(b) // 8
     return B.table(B.ANSWER, rows)
 
 

@@ -97,7 +97,8 @@ def test_training_carries_state(spark, monkeypatch, cells):
     rng = np.random.default_rng(0)
     k = language_model.STATES
     pi, a, b = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k) / 9, k), rng.dirichlet(np.ones(model.classes), k).T.copy()
-    out = np.frombuffer(language_model._expect(model, (pi, a, b), 7, -1)(row)[0][1])
+    classed = blocks.batch(language_model.CLASSED, language_model._classed(model)(row))
+    out = np.frombuffer(next(language_model._expect((pi, a, b), 7, -1)([classed])).column("counts")[0].as_py())
     kinds = model.classify(blocks.word_keys(x.words), language_model.tails(x.words))
     want = sum(language_model.likelihood(table, live, pi, a, b).sum() for _, table, live, *_ in language_model.lanes(x, kinds, np.arange(len(x.ids))))
     assert abs(out[-1] - want) < 1e-6
