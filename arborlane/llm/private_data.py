@@ -4,10 +4,10 @@ The base finds e-mail addresses, IPv4 addresses, card numbers and telephone numb
 their form. They are the seeds of a bootstrap: the words around a seed are a lexical
 pattern, and words that look like an identifier of the same kind, but miss the fixed
 form, are further instances of patterns. Pattern and instance confidences are computed
-in turn on the graph of both: a pattern has the mean confidence of its distinct
-instances, if enough of them are seeds or sure; an instance has that of at least one of its
-patterns being right. Instances above the threshold are added and support further
-patterns, until nothing changes; base spans all stay.
+in turn on the graph of both: a pattern's confidence is the share of its distinct
+instances that are seeds or found already, if there are enough of these; an instance's is
+that of at least one of its patterns being right. Instances above the threshold are found,
+and support and induce further patterns, until a round finds nothing new; base spans stay.
 
 Only DataFrame functions are used. The form of each kind is written so that Java's
 matcher takes time in proportion to the text: a run of characters is tried from its
@@ -49,9 +49,6 @@ LOOKS = {
 #: Numbers that go on after a single separator, of which one is a space.
 SPACED = r"(?<![0-9])\(?+[0-9]++\)?+(?:[\x20.-]\(?+[0-9]++\)?+|(?<=\))[0-9]++)++"
 SEEDS, SURE = 3, 0.9
-#: Scores only rise; a round in which none rises by more than this is the last.
-STILL = 1e-6
-CONTEXT = 48
 CHUNK = 64
 
 
@@ -80,25 +77,46 @@ def _ends(sizes: Column) -> Column:
     return let(before, lambda b: F.transform(sizes, lambda _, i: F.get(b, F.floor(i / CHUNK).cast("int")) + total(F.slice(sizes, i - i % CHUNK + 1, i % CHUNK + 1))))
 
 
-def spans(text: Column, form: str) -> Column:
-    """All matches of a form with their places and the text before and after each."""
+#: The last words of a gap between two matches (two whole ones and what touches the match
+#: after it), and the first ones. Words are never cut.
+_LAST = rf"(?:\A[{_WS}]*+|(?<=[{_WS}])(?![{_WS}]))(?:[^{_WS}]++[{_WS}]++){{0,2}}[^{_WS}]*+\z"
+_FIRST = rf"\A[^{_WS}]*+[{_WS}]*+[^{_WS}]*+[{_WS}]?"
+
+
+def places(text: Column, form: str) -> Column:
+    """All matches of a form with their places."""
+
+    def placed(found: Column) -> Column:
+        sizes = let(F.split(text, form, -1), lambda gaps: F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i))))
+        return let(sizes, lambda z: let(_ends(z), lambda e: F.transform(found, lambda m, i: F.struct(
+            (F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), m.alias("t")))))
+
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+    return let(F.regexp_extract_all(text, F.lit(form), 0), lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found)))
+
+
+def spans(text: Column, form: str, looks: str | None = None) -> Column:
+    """All matches of a form (of these, those that look like something) with their places
+    and the words before and after each, other matches included."""
 
     def placed(found: Column) -> Column:
         def with_gaps(gaps: Column) -> Column:
             sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
-            # a match has a character at least, so CONTEXT of them are far enough
-            before = F.transform(found, lambda m, i: F.substring(F.concat(F.get(gaps, i), m), -CONTEXT, CONTEXT))
-            after = F.transform(found, lambda m, i: F.substring(F.concat(m, F.get(gaps, i + 1)), 1, CONTEXT))
-            left = lambda b, i: F.concat(F.array_join(F.slice(b, F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))), ""), F.get(gaps, i))
-            right = lambda a, i: F.concat(F.get(gaps, i + 1), F.array_join(F.slice(a, i + 2, CONTEXT), ""))
-            return let(sizes, lambda z: let(_ends(z), lambda e: let(before, lambda b: let(after, lambda a: F.transform(found, lambda m, i: F.struct(
-                (F.get(e, i) - F.length(m)).alias("s"), F.get(e, i).alias("e"), m.alias("t"),
-                F.substring(left(b, i), -CONTEXT, CONTEXT).alias("l"), F.substring(right(a, i), 1, CONTEXT).alias("r")))))))
+            last = F.transform(gaps, lambda g: F.regexp_extract(g, _LAST, 0))
+            first = F.transform(gaps, lambda g: F.regexp_extract(g, _FIRST, 0))
+            near = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+            left = lambda b, i: F.concat(*[near(x, i - k) for k in (2, 1) for x in (b, found)], near(b, i))
+            right = lambda a, i: F.concat(near(a, i + 1), *[near(x, i + k + j) for k in (1, 2) for x, j in ((found, 0), (a, 1))])
+            at = F.sequence(F.lit(0), F.size(found) - 1)
+            at = at if looks is None else F.filter(at, lambda i: F.regexp_like(F.get(found, i), F.lit(looks)))
+            return let(sizes, lambda z: let(_ends(z), lambda e: let(last, lambda b: let(first, lambda a: F.transform(at, lambda i: F.struct(
+                (F.get(e, i) - F.length(F.get(found, i))).alias("s"), F.get(e, i).alias("e"), F.get(found, i).alias("t"), left(b, i).alias("l"), right(a, i).alias("r")))))))
 
         return let(F.split(text, form, -1), with_gaps)
 
     none = F.array().cast(_SPAN)
-    return let(F.regexp_extract_all(text, F.lit(form), 0), lambda found: F.when(F.size(found) == 0, none).otherwise(placed(found))).cast(_SPAN)
+    some = (lambda found: F.size(found) == 0) if looks is None else (lambda found: ~F.exists(found, lambda m: F.regexp_like(m, F.lit(looks))))
+    return let(F.regexp_extract_all(text, F.lit(form), 0), lambda found: F.when(some(found), none).otherwise(placed(found))).cast(_SPAN)
 
 
 def base(text: Column) -> dict[str, Column]:
@@ -115,14 +133,14 @@ def base(text: Column) -> dict[str, Column]:
 
 def _word(c: Column) -> Column:
     """A context word as a pattern sees it."""
-    return F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}=:#]+|[^\p{L}\p{N}=:#]+$", "")
+    return F.regexp_replace(F.lower(c), r"\A[^\p{L}\p{N}=:#]++|(?<=[\p{L}\p{N}=:#])[^\p{L}\p{N}=:#]++\z", "")
 
 
 def _patterns(left: Column, right: Column) -> Column:
     """Patterns of a place: the word before, the two words before, and both sides."""
-    one = _word(F.regexp_extract(left, rf"([^{_WS}]+)[{_WS}]*$", 1))
-    two = _word(F.regexp_extract(left, rf"([^{_WS}]+)[{_WS}]+[^{_WS}]+[{_WS}]*$", 1))
-    after = _word(F.regexp_extract(right, rf"^[^{_WS}]*[{_WS}]+([^{_WS}]+)", 1))
+    one = _word(F.regexp_extract(left, rf"(?<![^{_WS}])([^{_WS}]++)[{_WS}]*+\z", 1))
+    two = _word(F.regexp_extract(left, rf"(?<![^{_WS}])([^{_WS}]++)[{_WS}]++[^{_WS}]++[{_WS}]*+\z", 1))
+    after = _word(F.regexp_extract(right, rf"\A[^{_WS}]*+[{_WS}]++([^{_WS}]++)", 1))
     made = F.array(
         F.when(one != "", F.concat(F.lit("1 "), one)),
         F.when((one != "") & (two != ""), F.concat(F.lit("2 "), two, F.lit(" "), one)),
@@ -136,36 +154,39 @@ def _looks() -> Column:
     the text before and after; the rest of its own word is not context."""
 
     def look(k: str) -> Column:
-        return F.transform(spans(F.col("w.t"), LOOKS[k]), lambda x: F.struct(
+        return F.transform(places(F.col("w.t"), LOOKS[k]), lambda x: F.struct(
             F.lit(k).alias("kind"), x["t"].alias("i"), (F.col("w.s") + x["s"]).alias("s"), (F.col("w.s") + x["e"]).alias("e"),
-            F.concat(F.col("w.l"), F.regexp_replace(F.substring(F.col("w.t"), F.lit(1), x["s"]), rf"[^{_WS}]+$", "")).alias("l"),
+            F.concat(F.col("w.l"), F.regexp_replace(F.substring(F.col("w.t"), F.lit(1), x["s"]), rf"(?<![^{_WS}])[^{_WS}]++\z", "")).alias("l"),
             F.concat(F.substring(F.col("w.t"), x["e"] + 1, F.length("w.t")), F.col("w.r")).alias("r")))
 
     return F.flatten(F.array(*[look(k) for k in KINDS]))
 
 
-def _learned(found: DataFrame) -> DataFrame:
-    """(kind, instance) of the discovered identifiers. found: a row for each document
-    with its base spans and candidate words."""
+def _learned(found: DataFrame, looks: DataFrame) -> DataFrame:
+    """(kind, instance) of the discovered identifiers. found: a row for each document with
+    its base spans; looks: a row for each candidate."""
     seed = lambda k: F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), x["t"].alias("i"), x["l"].alias("l"), x["r"].alias("r")))
     seeds = F.flatten(F.array(*[seed(k) for k in KINDS]))
     seen = found.select(F.explode(seeds).alias("x")).select("x.*").select("kind", F.lower("i").alias("i"), F.explode(_patterns(F.col("l"), F.col("r"))).alias("p"))
     seen = seen.groupBy("kind", "p", "i").agg(F.count("*").alias("n")).withColumn("seed", F.lit(True))
-    whole = F.regexp_like("w.t", F.lit(FORMS["email"])) | F.regexp_like("w.t", F.lit(FORMS["ip"]))  # a word with a base span is no candidate
-    other = found.select(F.explode("words").alias("w")).filter(~whole).select(F.explode(_looks()).alias("x"))
-    other = other.filter((F.col("x.kind") != "card") | ~_passes("card", F.col("x.i"))).select("x.kind", F.lower("x.i").alias("i"), F.explode(_patterns(F.col("x.l"), F.col("x.r"))).alias("p"))
+    other = looks.filter((F.col("kind") != "card") | ~_passes("card", F.col("i"))).select("kind", F.lower("i").alias("i"), F.explode(_patterns(F.col("l"), F.col("r"))).alias("p"))
     other = other.groupBy("kind", "p", "i").agg(F.count("*").alias("n")).withColumn("seed", F.lit(False))
     graph = seen.unionByName(other).groupBy("kind", "p", "i").agg(F.max("seed").alias("seed"))
     known = graph.filter("seed").select("kind", "i").distinct().withColumn("known", F.lit(True))
-    graph = checkpointed(graph.join(known, ["kind", "i"], "left").select("kind", "p", "i", F.coalesce("known", F.lit(False)).alias("seed"), F.when(F.col("known"), 1.0).otherwise(0.0).alias("score")))
-    rises = 1.0
-    while rises > STILL:
-        pattern = graph.groupBy("kind", "p").agg(F.count_if(F.col("score") >= SURE).alias("seeds"), F.avg("score").alias("conf"))
-        pattern = pattern.filter((F.col("seeds") >= SEEDS) & (F.col("conf") >= 0.5)).select("kind", "p", "conf")
-        score = graph.filter(~F.col("seed")).join(pattern, ["kind", "p"]).groupBy("kind", "i").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("conf"))))).alias("new"))
-        graph = checkpointed(graph.join(score, ["kind", "i"], "left").select("kind", "p", "i", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0))).alias("score"), F.col("score").alias("was")))
-        rises = graph.agg(F.max(F.col("score") - F.col("was"))).first()[0] or 0.0
-    return graph.filter(~F.col("seed") & (F.col("score") >= SURE)).select("kind", "i").distinct()
+    graph = checkpointed(graph.join(known, ["kind", "i"], "left").select("kind", "p", "i", F.coalesce("known", F.lit(False)).alias("seed"), F.coalesce("known", F.lit(False)).alias("sure")))
+    while True:
+        pattern = graph.groupBy("kind", "p").agg(F.count_if("sure").alias("n"), F.avg(F.col("sure").cast("double")).alias("conf"))
+        pattern = _small(checkpointed(pattern.filter((F.col("n") >= SEEDS) & (F.col("conf") >= 0.5)).select("kind", "p", "conf")))
+        score = graph.filter(~F.col("sure")).join(pattern, ["kind", "p"]).groupBy("kind", "i").agg((1 - F.exp(F.sum(F.log(1.0000001 - F.col("conf"))))).alias("score"))
+        new = checkpointed(score.filter(F.col("score") >= SURE).select("kind", "i", F.lit(True).alias("new")))
+        if new.isEmpty():
+            return graph.filter("sure and not seed").select("kind", "i").distinct()
+        graph = checkpointed(graph.join(_small(new), ["kind", "i"], "left").select("kind", "p", "i", "seed", (F.col("sure") | F.coalesce("new", F.lit(False))).alias("sure")))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows, for broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def found_in(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,15 +194,16 @@ def found_in(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     structs of kind, s and e."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("__t"))
-    spaced = F.filter(spans(F.col("__t"), SPACED), lambda x: F.contains(x["t"], F.lit(" ")))
-    words = F.when(F.regexp_like("__t", F.lit("[0-9@]")), F.concat(spans(F.col("__t"), WORDLIKE), spaced)).otherwise(F.array().cast(_SPAN))
+    looks = "|".join(LOOKS[k] for k in KINDS)
+    spaced = F.filter(spans(F.col("__t"), SPACED, looks), lambda x: F.contains(x["t"], F.lit(" ")))
+    words = F.when(F.regexp_like("__t", F.lit("[0-9@]")), F.concat(spans(F.col("__t"), WORDLIKE, looks), spaced)).otherwise(F.array().cast(_SPAN))
     found = rows.select("doc_id", F.monotonically_increasing_id().alias("__row"), *[c.alias(k) for k, c in base(F.col("__t")).items()], words.alias("words"))
     found = checkpointed(found)
-    new = checkpointed(_learned(found))
-    small = new.count() <= BROADCAST_ROWS
-    placed = found.select("__row", F.explode("words").alias("w")).select("__row", F.explode(_looks()).alias("x"))
-    placed = placed.select("__row", "x.kind", F.lower("x.i").alias("i"), "x.s", "x.e")
-    placed = placed.join(F.broadcast(new) if small else new, ["kind", "i"]).select("__row", F.struct("kind", "s", "e").alias("x"))
+    whole = F.regexp_like("w.t", F.lit(FORMS["email"])) | F.regexp_like("w.t", F.lit(FORMS["ip"]))  # a word with a base span is no candidate
+    looks = found.select("__row", F.explode("words").alias("w")).select("__row", whole.alias("whole"), F.explode(_looks()).alias("x"))
+    looks = checkpointed(looks.select("__row", "whole", "x.*"))
+    new = checkpointed(_learned(found, looks.filter("not whole")))
+    placed = looks.select("__row", "kind", F.lower("i").alias("i"), "s", "e").join(_small(new), ["kind", "i"]).select("__row", F.struct("kind", "s", "e").alias("x"))
     added = placed.groupBy("__row").agg(F.collect_set("x").alias("added"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     out = found.drop("words").join(added, "__row", "left")
