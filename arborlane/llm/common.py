@@ -37,11 +37,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own, else one set here (tests)."""
+    """The folder for checkpoints: the cluster's own, else, in local mode, one set here."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         given = spark.conf.get("spark.checkpoint.dir", "")
         if not given:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             given = tempfile.mkdtemp(prefix="arborlane-")
             atexit.register(shutil.rmtree, given, ignore_errors=True)
         sc.setCheckpointDir(given)
@@ -54,6 +56,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of a table already written, for broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., so that no other name clashes, and these by name."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def dealt(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
     """df dealt by a key and checkpointed so that Spark still knows how it is dealt:
     what then groups or joins by the key does not move df again. (The plan of an

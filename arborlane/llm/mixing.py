@@ -13,8 +13,8 @@ sorted. What a row then needs is a handful of numbers of its source.
 
 Defined cases: a null text has no words; a document without words is never taken, nor is
 one that is longer than its source's whole target (but to close a gap); a null source is
-a source, the last one; an empty table gives an empty result; rows that repeat as a whole
-are taken together or not at all at the end of a sample.
+a source, the last one; an empty table gives an empty result; rows of equal doc_id, text
+and source are taken one by one like any others, and in mix() one of them stands for all.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborlane.llm.common import BROADCAST_ROWS, WORD, checkpointed
+from arborlane.llm.common import BROADCAST_ROWS, WORD, checkpointed, own_names, small
 
 SLICES = 4096
 
@@ -33,9 +33,33 @@ def word_count(text: Column) -> Column:
 
 
 def _measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
-    raw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    u = (F.shiftrightunsigned(raw, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return docs.withColumns({"__source": F.col(source), "__id": F.col(doc_id), "__size": word_count(F.col(text)), "__u": u})
+    row = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.col(source))
+    return docs.withColumns({"__source": F.col(source), "__id": F.col(doc_id), "__size": word_count(F.col(text)), "__row": row})
+
+
+def _random(bits: Column) -> Column:
+    return (F.shiftrightunsigned(bits, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def _repeated(narrow: DataFrame) -> DataFrame:
+    """(__row) of rows that repeat."""
+    return checkpointed(narrow.groupBy("__row").agg(F.count("*").alias("n")).filter("n > 1").select("__row"))
+
+
+def _units(narrow: DataFrame, repeated: DataFrame) -> DataFrame:
+    """A random number __u for each row. Rows that repeat are numbered, each partition of
+    the input by itself, so that no task numbers all rows of a hot one."""
+    once = narrow.withColumn("__u", _random(F.col("__row")))
+    if repeated.isEmpty():
+        return once
+    side = small(repeated)
+    key = ["__source", "__id", "__size", "__row"]
+    parts = narrow.join(side, "__row", "left_semi").groupBy(*key, F.spark_partition_id().alias("__p")).agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(W.partitionBy(*key).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = checkpointed(parts.withColumn("__from", before)).repartition(*key, "__p")
+    again = parts.withColumn("__j", F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("__k") - 1)))
+    again = again.select(*key, _random(F.xxhash64("__row", "__j")).alias("__u"))
+    return checkpointed(once.join(side, "__row", "left_anti").select(*key, "__u").unionByName(again))
 
 
 def _with(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
@@ -147,8 +171,9 @@ def _decided(rows: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
 def sampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7,
             doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken."""
-    narrow = checkpointed(_measured(docs.select(doc_id, text, source), doc_id, text, source, seed).select("__id", "__source", "__size", "__u"))
-    out = _decided(narrow, plan(narrow, weights, most), most)
+    narrow = checkpointed(_measured(docs.select(doc_id, text, source), doc_id, text, source, seed).select("__id", "__source", "__size", "__row"))
+    units = _units(narrow, _repeated(narrow))
+    out = _decided(units, plan(units, weights, most), most)
     return out.select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__s").alias("source_size"), F.col("__t").alias("target"),
         F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
@@ -157,10 +182,21 @@ def sampled(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs, all columns, each row as often as the mix takes it."""
-    measured = _measured(docs, doc_id, text, source, seed)
-    narrow = checkpointed(measured.select("__id", "__source", "__size", "__u"))
-    out = _decided(measured, plan(narrow, weights, most), most).filter("__copies > 0")
-    return out.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    work, names = own_names(docs)
+    rows = _measured(work, names[doc_id], names[text], names[source], seed)
+    narrow = checkpointed(rows.select("__id", "__source", "__size", "__row"))
+    repeated = _repeated(narrow)
+    units = _units(narrow, repeated)
+    per_source = plan(units, weights, most)
+    every = lambda x: x.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names.values())
+    if repeated.isEmpty():
+        return every(_decided(rows.withColumn("__u", _random(F.col("__row"))), per_source, most).filter("__copies > 0")).toDF(*docs.columns)
+    side = small(repeated)
+    single = _decided(rows.join(side, "__row", "left_anti").withColumn("__u", _random(F.col("__row"))), per_source, most).filter("__copies > 0")
+    counts = _decided(units.join(side, "__row", "left_semi"), per_source, most).groupBy("__row").agg(F.sum("__copies").alias("__copies")).filter("__copies > 0")
+    one = rows.join(side, "__row", "left_semi").groupBy("__row").agg(F.first(F.struct(*names.values())).alias("r"))
+    one = one.join(counts, "__row").select("r.*", "__copies").repartition(F.col(names[doc_id]))
+    return every(single).unionByName(every(one)).toDF(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

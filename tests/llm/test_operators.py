@@ -103,10 +103,11 @@ def test_mixing_targets(spark):
 
 
 def test_mix_rows(docs, clashing, none):
-    copies = {r["doc_id"]: r["copies"] for r in mixing.sampled(docs).collect()}
+    copies = collections.Counter()  # rows that repeat are taken one by one
+    for r in mixing.sampled(docs).collect():
+        copies[r["doc_id"]] += r["copies"]
     n = collections.Counter(r["doc_id"] for r in mixing.mix(clashing).collect())
-    times = collections.Counter(r[0] for r in ROWS)
-    assert n == collections.Counter({i: c * times[i] for i, c in copies.items() if c})
+    assert n == +copies
     assert mixing.mix(clashing).columns == clashing.columns
     assert mixing.mix(none).isEmpty() and mixing.sampled(none).isEmpty()
 
@@ -280,10 +281,23 @@ def test_forward_is_exact():
     pi, a, b = rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(3), 2).T
     table = np.array([[0, 1, 2], [1, 1, 2], [2, 0, 2], [0, 2, 2]], np.int32)
     live = np.array([3, 2, 2, 1])
-    got = language_model.likelihood(table, live, pi, a, b)
+    flat = np.concatenate([table[t, :n] for t, n in enumerate(live)])
+    got = language_model.likelihood(flat, live, pi, a, b)
+    starts, pairs, emitted, ll = language_model.expected(flat, live, pi, a, b)
+    want = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3))
     for lane, size in enumerate((4, 3, 1)):
+        chance = {s: np.prod([pi[s[0]] * b[table[0, lane], s[0]], *(a[s[t - 1], s[t]] * b[table[t, lane], s[t]] for t in range(1, size))]) for s in itertools.product((0, 1), repeat=size)}
+        for s, p in chance.items():
+            p /= sum(chance.values())
+            want[0][s[0]] += p
+            for t in range(size):
+                want[2][s[t], table[t, lane]] += p
+                if t:
+                    want[1][s[t - 1], s[t]] += p
         total = sum(np.prod([pi[s[0]] * b[table[0, lane], s[0]], *(a[s[t - 1], s[t]] * b[table[t, lane], s[t]] for t in range(1, size))]) for s in itertools.product((0, 1), repeat=size))
         assert abs(got[lane] - math.log10(total)) < 1e-9
+    assert abs(ll - got.sum()) < 1e-9
+    assert all(np.abs(x - y).max() < 1e-9 for x, y in zip((starts, pairs, emitted), want))
 
 
 # 5 ------------------------------------------------------------------------------------
