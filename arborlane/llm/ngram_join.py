@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm import blocks as B
-from arborlane.llm.common import BROADCAST_ROWS, checkpointed, dealt, give_back, join_hot, release
+from arborlane.llm.common import BROADCAST_ROWS, checkpointed, dealt, give_back, join_hot, own_names, release, small
 from arborlane.llm.graph import components
 
 SHINGLE = 5
@@ -471,9 +471,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with the row of the smallest doc_id of each component."""
-    gone = checkpointed(near_duplicates(docs, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """docs, all columns, with exactly one row of each component: the smallest doc_id's, a
+    null one last. A row is known by a hash of doc_id and text; of rows that are equal in
+    both, any one stays. Rows without words are in no component and all stay."""
+    work, names = own_names(docs)
+    row = F.xxhash64(names[doc_id], names[text])
+    rows = work.select(row.alias("row"), F.col(names[doc_id]).alias("id"), F.col(names[text]).alias("text"))
+    found = near_duplicates(rows, "row").filter("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
+    found = found.groupBy("row", "root").agg(F.count("*").alias("n"))
+    found = checkpointed(found.join(rows.select("row", "id").distinct(), "row"))
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("s"), F.count("*").alias("rows")).filter("rows > 1").select("root", F.col("s.row").alias("stays"))
+    gone = checkpointed(found.join(stays, "root").filter("row <> stays").select("row").distinct())
+    again = checkpointed(found.filter("n > 1").select("row").distinct().join(gone, "row", "left_anti"))
+    out = work.withColumn("row", row).join(small(gone), "row", "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        out = out.join(again, "row", "left_anti").unionByName(out.join(again, "row", "left_semi").dropDuplicates(["row"]))
+    return out.drop("row").toDF(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
