@@ -10,8 +10,9 @@ numbers. Every document is folded into that space; its cosines with all labelled
 are computed exactly, a block of documents at a time; the NEIGHBOURS nearest vote, each
 with its similarity to the power SHARP times the share of its label that it stands for.
 
-Defined cases: a null or empty text has an empty bag, zero similarity with all, and the
-share of label 1 as its score; a doc_id labelled more than once counts with its smallest
+Defined cases: a null or empty text, or one without words, scores 0: nothing speaks for
+it; a text like no labelled one scores the share of label 1; all neighbours as near as the
+last of the nearest vote too; a doc_id labelled more than once counts with its smallest
 label; null labels are no labels; with no labelled rows every score is 0.5; repeated rows
 are scored each; an empty table gives an empty result. Labels, lang, source and doc_id
 are no inputs of a score.
@@ -101,16 +102,17 @@ class Space:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def scores(self, bags: np.ndarray, block: int = 512) -> np.ndarray:
-        out = np.full(len(bags), self.share)
+        out = np.where(bags.any(axis=1), self.share, 0.0)
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(bags), block):
             part = bags[at : at + block]
             cosine = self.fold(part) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosine, near, 1), 0.0) ** SHARP * self.stands_for[near]
-            total = vote.sum(1)
+            least = np.partition(cosine, -k, axis=1)[:, -k]
+            row, near = np.nonzero(cosine >= least[:, None])
+            vote = np.maximum(cosine[row, near], 0.0) ** SHARP * self.stands_for[near]
+            total = np.bincount(row, vote, len(part))
             some = part.any(axis=1) & (total > 0)
-            out[at : at + block][some] = ((vote * self.labels[near]).sum(1) / np.maximum(total, 1e-30))[some]
+            out[at : at + block][some] = (np.bincount(row, vote * self.labels[near], len(part)) / np.maximum(total, 1e-30))[some]
         return out.clip(0.0, 1.0)
 
 
@@ -141,7 +143,9 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = H
             yield pa.RecordBatch.from_arrays([x.column("__id"), x.column("__label"), pa.array([a for a, _ in sparse], pa.binary()), pa.array([b for _, b in sparse], pa.binary())], ["id", "label", "at", "value"])
 
     small_batches(docs.sparkSession)
-    found = sorted({(r["label"], zlib.crc32(str(r["id"]).encode()), r["id"], bytes(r["at"]), bytes(r["value"])) for r in rows.mapInArrow(bags, "id long, label int, at binary, value binary").collect()})
+    made = rows.mapInArrow(bags, "id long, label int, at binary, value binary")
+    made = made.groupBy("id", "label").agg(F.min(F.struct("at", "value")).alias("b")).select("id", "label", "b.*")  # one row of each id
+    found = sorted((r["label"], zlib.crc32(str(r["id"]).encode()), r["id"], bytes(r["at"]), bytes(r["value"])) for r in made.collect())
     kept, seen = [], {}
     for y, _, _, at, value in found:
         if seen.setdefault(y, 0) < sample and at:
