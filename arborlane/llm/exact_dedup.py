@@ -1,8 +1,10 @@
 """Exact duplicates by progressive refinement: length, prefix hash, full hash.
 
 Only rows whose length is shared get a prefix hash compared, and only rows whose
-(length, prefix hash) is shared get their full content hashed for grouping. Text
-never enters a shuffle; keys do.
+(length, prefix hash) is shared get their full content hashed for grouping. The shared
+pairs are broadcast as a bit map of a fixed size (BITS); a row that only shares a bit is
+hashed in vain, which changes no result. So the same plan serves every size, and text
+enters a shuffle only where drop_exact_copies() drops more rows than may be broadcast.
 
 Defined cases: a null text counts as empty; empty texts equal each other; rows
 with the same doc_id and text are copies of one another and exactly one of them
@@ -15,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlane.llm.common import BROADCAST_ROWS, checkpointed, join_hot
+from arborlane.llm.common import BROADCAST_ROWS, checkpointed, join_hot, own_names, small
 
 #: Characters of the text that the second level hashes.
 PREFIX = 256
+#: Bits of the map of shared (length, prefix hash): at most a million words are broadcast.
+BITS = 1 << 26
 
 
 def _text(text: str) -> Column:
@@ -42,20 +46,14 @@ def exact_groups(
         _text(text).alias("__text"),
         *[c.alias(k) for k, c in carry.items()],
     )
-    lengths = _shared(rows.select("__len"), ["__len"])
-    if lengths.count() <= BROADCAST_ROWS:
-        lengths = F.broadcast(lengths)
-    level2 = checkpointed(_shared(rows.select("__len", "__pre").join(lengths, "__len", "left_semi"), ["__len", "__pre"]))
-    mark = level2.withColumn("__live", F.lit(True))
-    if mark.count() <= BROADCAST_ROWS:
-        hashed = rows.join(F.broadcast(mark), ["__len", "__pre"], "left").withColumn(
-            "__full", F.when(F.col("__live"), F.sha2("__text", 256))
-        )
-    else:  # too many groups to broadcast: hash in the scan, so that no text is shuffled
-        hashed = (
-            rows.withColumn("__sha", F.sha2("__text", 256)).drop("__text").join(mark, ["__len", "__pre"], "left")
-            .withColumn("__full", F.when(F.col("__live"), F.col("__sha")))
-        )
+    lengths = small(checkpointed(_shared(rows.select("__len"), ["__len"])))
+    pairs = _shared(rows.select("__len", "__pre").join(lengths, "__len", "left_semi"), ["__len", "__pre"])
+    place = F.pmod(F.xxhash64("__len", "__pre"), F.lit(BITS))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    bits = checkpointed(pairs.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("__b")).groupBy("__word").agg(F.bit_or("__b").alias("__bits")))
+    hashed = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(bits), "__word", "left")
+    live = F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1)) == 1
+    hashed = hashed.withColumn("__full", F.when(live, F.sha2("__text", 256)))
     narrow = checkpointed(
         hashed.select("doc_id", "__full", *carry, F.monotonically_increasing_id().alias("__row"))
     )
@@ -77,19 +75,21 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, without the rows that exact_groups() does not keep."""
-    names = docs.columns
-    gone = exact_groups(docs, doc_id, text).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.col("full_hash").alias("__sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__same")
+    work, names = own_names(docs)
+    key, content = names[doc_id], names[text]
+    gone = exact_groups(work, key, content).filter(~F.col("kept")).select(
+        F.col("doc_id").alias("id"), F.col("full_hash").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("same")
     ).distinct()
     gone = checkpointed(gone)
-    keyed = docs.withColumn("__h", F.sha2(_text(text), 256))
-    match = (F.col(doc_id).eqNullSafe(F.col("__id"))) & (F.col("__h") == F.col("__sha"))
-    out = keyed.join(gone.filter(~F.col("__same")), match, "left_anti")
-    if gone.filter("__same").isEmpty():
-        return out.select(names)
-    same = gone.filter("__same")  # a row repeated as a whole: one of it stays
-    once = out.join(same, match, "left_semi").dropDuplicates([doc_id, "__h"])
-    return out.join(same, match, "left_anti").unionByName(once).select(names)
+    # only rows whose id is gone are hashed again
+    match = lambda side: F.col(key).eqNullSafe(side["id"]) & F.array_contains(F.array(side["sha"]), F.sha2(_text(content), 256))
+    other = small(gone.filter("not same"), BROADCAST_ROWS // 2)
+    out = work.join(other, match(other), "left_anti")
+    if not gone.filter("same").isEmpty():  # a row repeated as a whole: one of it stays
+        same = small(gone.filter("same"), BROADCAST_ROWS // 2)
+        once = out.join(same, match(same), "left_semi").withColumn("sha", F.sha2(_text(content), 256)).dropDuplicates([key, "sha"]).drop("sha")
+        out = out.join(same, match(same), "left_anti").unionByName(once)
+    return out.toDF(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
