@@ -7,6 +7,7 @@ but the last return the columns of documents; the last one a row for each encode
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +52,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir. What stages hand over is written to the
-    shared folder for checkpoints, under a name of this run."""
+    shared folder for checkpoints, under a name of this run, and goes once the next stage
+    is written; the last stage's rows stay, as the result reads them."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{at}/{i}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(done)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        done = path
     return docs
