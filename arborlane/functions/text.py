@@ -125,7 +125,9 @@ def rule_lines(text: Column) -> Column:
 
 
 def included_paths(text: Column) -> Column:
-    """What follows the last ': ' of lines whose part before has no parenthesis, if it has a separator."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(": ")))
-    ok = lambda x: ~F.contains(F.substr(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, ": ", -1))), F.lit("(")) & F.contains(F.substring_index(x, ": ", -1), F.lit("/"))
-    return F.transform(F.filter(lines, ok), lambda x: F.substring_index(x, ": ", -1))
+    """What follows the last ': ' of lines whose part before has no parenthesis, trimmed, with
+    / for each backslash, if it has a separator."""
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(": ")))
+    path = lambda x: F.translate(F.trim(F.substring_index(x, ": ", -1)), "\\", "/")
+    ok = lambda x: ~F.contains(F.substr(x, F.lit(1), F.length(x) - F.length(F.substring_index(x, ": ", -1))), F.lit("(")) & F.contains(path(x), F.lit("/"))
+    return F.transform(F.filter(lines, ok), path)

@@ -19,8 +19,27 @@ from arborlane.plans.lineage import cut
 TASK_EDGES = 2_000_000
 
 
+#: Names below this number may be broadcast: some 50 bytes each.
+BROADCAST_NAMES = 500_000
+
+
+def held(edges: DataFrame) -> DataFrame:
+    """Edges written once, for plans that read them in every round."""
+    if getattr(edges, "_held", False):
+        return edges
+    out = cut(edges)
+    out._held = True
+    return out
+
+
 def flipped(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out._held = getattr(edges, "_held", False)
+    return out
+
+
+def _hint(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_NAMES else rows
 
 
 def reachable(edges: DataFrame, roots: DataFrame, method: str = "rounds") -> DataFrame:
@@ -28,17 +47,21 @@ def reachable(edges: DataFrame, roots: DataFrame, method: str = "rounds") -> Dat
     round joins only the nodes that the one before found new."""
     if method == "task":
         return _in_task(edges, roots)
+    edges = held(edges)
     seen = frontier = cut(roots.select("name").distinct())
-    while not frontier.isEmpty():
-        step = edges.join(frontier.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
-        frontier = cut(step.join(seen, "name", "left_anti"))
-        seen = seen.union(frontier)
+    new = found = frontier.count()
+    while new:
+        step = edges.join(_hint(frontier.withColumnRenamed("name", "src"), new), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
+        frontier = cut(step.join(_hint(seen, found), "name", "left_anti"))
+        seen, new = seen.union(frontier), frontier.count()
+        found += new
     return seen
 
 
 def closure_sizes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, size): the number of nodes that edges lead to from each root with an edge.
     Semi-naive, as in reachable()."""
+    edges = held(edges)
     step = roots.distinct().join(edges.withColumnRenamed("src", "root"), "root").select("root", F.col("dst").alias("name"))
     seen = frontier = cut(step.distinct())
     while not frontier.isEmpty():
@@ -69,38 +92,66 @@ def _in_task(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.coalesce(1).mapInArrow(run, "name string")
 
 
-def all_paths(edges: DataFrame, start: str, limit: int = 4096) -> DataFrame:
-    """(path array, node) of all simple paths from start, by rounds; the first limit in order."""
+def all_paths(edges: DataFrame, start: str, limit: int | None = 4096, ends: Column | None = None) -> tuple[DataFrame, bool]:
+    """(path array, node) of the first ``limit`` simple paths (None: of all), in order, to
+    nodes for which ends holds, and whether there are more. By rounds: paths of one length at a time."""
     spark = edges.sparkSession
-    level = spark.createDataFrame([([start], start)], "path array<string>, node string")
-    found = level
+    edges = held(edges)
+    ends = F.lit(True) if ends is None else ends
+    level = found = spark.createDataFrame([([start], start)], "path array<string>, node string")
     while not level.isEmpty():
         level = cut(level.join(edges, level.node == edges.src).filter(~F.array_contains("path", F.col("dst"))).select(
             F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("node")))
         found = found.union(level)
-    return found
+    if limit is None:
+        return found.filter(ends), False
+    first = cut(found.filter(ends).orderBy(F.array_join("path", "/")).limit(limit + 1))
+    return first.orderBy(F.array_join("path", "/")).limit(limit), first.count() > limit
+
+
+def known(edges: DataFrame, names: list[str]) -> None:
+    """Raises for names that are no nodes of the graph."""
+    asked = edges.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    nodes = edges.select(F.col("src").alias("name")).union(edges.select("dst"))
+    missing = asked.join(nodes, "name", "left_anti").collect()
+    if missing:
+        raise ValueError("unknown target: " + ", ".join(sorted(r["name"] for r in missing)))
 
 
 def some_path(edges: DataFrame, a: str, b: str) -> list[str]:
-    """The first path of a depth-first search that takes edges in order of pos, or []. One
-    task would do; here the walk asks only for the edges of the nodes that reach b."""
+    """The first path of a depth-first search that takes edges in order of pos, or []. Spark
+    narrows the graph to the nodes between both ends; the search then runs in one task, with
+    a set of nodes seen, so that cycles end it like anything else."""
     spark = edges.sparkSession
-    useful = reachable(flipped(edges), spark.createDataFrame([(b,)], "name string"))
-    mine = reachable(edges, spark.createDataFrame([(a,)], "name string")).join(useful, "name")
-    kept = edges.join(mine.withColumnRenamed("name", "src"), "src", "left_semi").join(mine.withColumnRenamed("name", "dst"), "dst", "left_semi")
-    first = kept.groupBy("src").agg(F.min(F.struct("pos", "dst")).alias("f")).select("src", "f.dst")
-    # on a graph without cycles each first edge of a useful node leads to b
-    step, path = {r["src"]: r["dst"] for r in _chain(first, a).collect()}, [a]
-    while path[-1] != b and path[-1] in step:
-        path.append(step[path[-1]])
-    return path if path[-1] == b else []
-
+    plain = held(edges.select("src", "dst"))
+    useful = reachable(flipped(plain), spark.createDataFrame([(b,)], "name string"))
+    mine = cut(reachable(plain, spark.createDataFrame([(a,)], "name string")).join(useful, "name"))
+    kept = edges.join(mine.withColumnRenamed("name", "src"), "src", "left_semi").join(mine.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst", "pos")
+    kept = cut(kept)
+    if kept.limit(TASK_EDGES + 1).count() > TASK_EDGES:
+        raise ValueError("too many edges for one task")
 
-def _chain(first: DataFrame, a: str) -> DataFrame:
-    """The edges of a functional graph (src, dst) on the walk from a."""
-    spark = first.sparkSession
-    walk = reachable(first, spark.createDataFrame([(a,)], "name string"))
-    return first.join(walk.withColumnRenamed("name", "src"), "src", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after = defaultdict(list)
+        for x in batches:
+            for s, d, p in zip(*(x.column(i).to_pylist() for i in range(3))):
+                after[s].append((p, d))
+        path, seen, todo = [], set(), [(a, 0)]
+        while todo:
+            name, depth = todo.pop()
+            if name in seen:
+                continue
+            seen.add(name)
+            path[depth:] = [name]
+            if name == b:
+                break
+            todo.extend((d, depth + 1) for _, d in sorted(after[name], reverse=True) if d not in seen)
+        else:
+            path = []
+        yield pa.RecordBatch.from_arrays([pa.array([path], pa.list_(pa.string()))], ["path"])
+
+    rows = kept.coalesce(1).mapInArrow(run, "path array<string>").collect()
+    return list(rows[0]["path"]) if rows else ([a] if a == b else [])
 
 
 def peeled(edges: DataFrame, own: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
@@ -108,6 +159,7 @@ def peeled(edges: DataFrame, own: DataFrame, value: Callable[[Column], Column])
     are done; its value is value(largest of theirs), which may use the columns of own
     (name, ...) and sees null at the ends. A round joins the nodes just done to their edges,
     so each edge is met once. Raises on a cycle."""
+    edges = held(edges)
     names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
     out = edges.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("__left"))
     cols = [c for c in own.columns if c != "name"]

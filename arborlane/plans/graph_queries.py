@@ -17,8 +17,13 @@ def _root(t, name):
     return t.spark.createDataFrame([(name,)], "name string")
 
 
-def _up(t):
-    e = D.edges(t)
+def _edges(t):
+    """The edges, written once for all that a query asks of them."""
+    return G.held(D.edges(t))
+
+
+def _up(t, e=None):
+    e = e or _edges(t)
     return G.reachable(G.flipped(e), _root(t, "r0"))
 
 
@@ -44,7 +49,7 @@ def rdeps_kind(t):
 
 @query("graph_deps_task", WALK_DOWN + " select name from w")
 def deps_task(t):
-    e = D.edges(t)
+    e = _edges(t)
     start = G.reachable(e, _root(t, "o1"))  # edges of the closure only
     return G.reachable(e.join(start.withColumnRenamed("name", "src"), "src", "left_semi"), _root(t, "o1"), method="task")
 
@@ -75,18 +80,18 @@ PATHS = f"""with recursive {EDGES}, p as (
 
 @query("graph_allpaths", PATHS + " select array_to_string(path, '/') as path from p where node like 'r%' order by path limit 4096")
 def allpaths(t):
-    e = D.edges(t)
+    e = _edges(t)
     near = G.reachable(e, _root(t, "o1"))
     sub = e.join(near.withColumnRenamed("name", "src"), "src", "left_semi")
-    return G.all_paths(sub, "o1").filter(F.startswith("node", F.lit("r"))).select(F.array_join("path", "/").alias("path")).orderBy("path").limit(4096)
+    return G.all_paths(sub, "o1", 4096, F.startswith("node", F.lit("r")))[0].select(F.array_join("path", "/").alias("path"))
 
 
 @query("graph_allpaths_members", PATHS + " select distinct m as name from (select unnest(path) as m from p where node like 'r%') where m like 's%'")
 def allpaths_members(t):
-    e = D.edges(t)
+    e = _edges(t)
     near = G.reachable(e, _root(t, "o1"))
     sub = e.join(near.withColumnRenamed("name", "src"), "src", "left_semi")
-    p = G.all_paths(sub, "o1").filter(F.startswith("node", F.lit("r")))
+    p = G.all_paths(sub, "o1", None, F.startswith("node", F.lit("r")))[0]
     return p.select(F.explode(F.filter("path", lambda x: F.startswith(x, F.lit("s")))).alias("name")).distinct()
 
 
@@ -95,7 +100,7 @@ def allpaths_members(t):
   goal as (select min(node) as r from p where node like 'r%')
   select array_to_string(path, '/') as path from p, goal where node = goal.r order by path limit 1""")
 def somepath(t):
-    e = D.edges(t)
+    e = _edges(t)
     near = G.reachable(e, _root(t, "o1"))
     goal = near.filter(F.startswith("name", F.lit("r"))).agg(F.min("name")).first()[0]
     ordered = e.withColumn("pos", F.col("dst"))
@@ -124,14 +129,15 @@ def cycles(t):
 
 @query("graph_unreachable", f"with recursive {EDGES}, {TARGETS}, w as (select name from targets where name like 'o%1' union select dst from edges join w on src = name) select name from targets where name not in (select name from w)")
 def unreachable(t):
-    e = D.edges(t)
+    e = _edges(t)
     names = D.targets(e).select("name")
     return names.join(G.reachable(e, names.filter(F.col("name").like("o%1"))), "name", "left_anti")
 
 
 @query("graph_induced_edges", WALK_UP + " select '\"' || src || '\" -> \"' || dst || '\"' as line from edges where src in (select name from w) and dst in (select name from w)")
 def induced(t):
-    e, up = D.edges(t), _up(t)
+    e = _edges(t)
+    up = _up(t, e)
     both = e.join(up.withColumnRenamed("name", "src"), "src", "left_semi").join(up.withColumnRenamed("name", "dst"), "dst", "left_semi")
     return both.select(F.format_string('"%s" -> "%s"', "src", "dst").alias("line"))
 
@@ -195,8 +201,8 @@ PRIORITY = f"""with recursive {EDGES}, {TARGETS}, wt as (select name, {WEIGHT} a
   select name, weight as p from wt where name not in (select src from edges) union select e.src, w.weight + d.p from edges e join d on e.dst = d.name join wt w on w.name = e.src)"""
 
 
-def _priority(t):
-    e = D.edges(t)
+def _priority(t, e=None):
+    e = e or _edges(t)
     name = F.col("name")
     by_kind = F.create_map(*[F.lit(x) for k in (("o", 10), ("p", 20), ("s", 30), ("c", 5), ("n", 50), ("r", 7)) for x in k])
     w = D.targets(e).select("name", (by_kind[D.kind(name)] + F.length("name")).cast("long").alias("weight"))
@@ -210,10 +216,10 @@ def priority(t):
 
 @query("sched_critical_path", PRIORITY + ", m as (select name, max(p) as p from d group by name) select cast(max(p) as bigint) as critical_path, (select cast(sum(weight) as bigint) from wt) as work from m")
 def critical(t):
-    e = D.edges(t)
+    e = _edges(t)
     by_kind = F.create_map(*[F.lit(x) for k in (("o", 10), ("p", 20), ("s", 30), ("c", 5), ("n", 50), ("r", 7)) for x in k])
     w = D.targets(e).select((by_kind[D.kind(F.col("name"))] + F.length("name")).cast("long").alias("weight"))
-    return _priority(t).agg(F.max("priority").alias("critical_path")).crossJoin(F.broadcast(w.agg(F.sum("weight").alias("work"))))
+    return _priority(t, e).agg(F.max("priority").alias("critical_path")).crossJoin(F.broadcast(w.agg(F.sum("weight").alias("work"))))
 
 
 @query("graph_events_chain", """with c as (select user_id, event_id, lag(event_id) over (partition by user_id order by ts, event_id) as prev from events)

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -58,6 +59,7 @@ def test_chunks_refuse():
 def test_depfile():
     assert depfile.parse("a.o: b.h c\\ d.h \\\n e$$f.h\n\nb.h:\n") == ["c d.h", "e$f.h"]
     assert depfile.parse("") == []
+    assert depfile.parse("a.o b.o: C:/x.h d\\:e.h \\\r\n f.h\nno rule here\nx: $$y b.o") == ["$y", "C:/x.h", "d:e.h", "f.h"]
 
 
 @given(st.text(max_size=200))
@@ -99,6 +101,15 @@ def test_diamond(spark):
     assert names(up) == ["cli", "core", "core_test", "render", "text"]
     assert graph.some_path(e, "cli", "gen") == ["cli", "render", "core", "gen"]
     assert graph.some_path(e, "cli", "cli") == ["cli"] and graph.some_path(e, "gen", "cli") == []
+    loop = spark.createDataFrame([("a", "c", 0), ("c", "a", 0), ("c", "b", 1), ("b", "d", 0), ("a", "d", 9)], "src string, dst string, pos int")
+    assert graph.some_path(loop, "a", "b") == ["a", "c", "b"] and graph.some_path(loop, "a", "d") == ["a", "c", "b", "d"]
+    wide = spark.createDataFrame([(f"{i}", f"{i + 1}{x}") for i in range(1, 6) for x in "" "xy"] + [(f"{i}{x}", f"{i}") for i in range(2, 7) for x in "xy"], "src string, dst string")
+    paths, more = graph.all_paths(wide, "1", 10, F.col("node") == "6")
+    assert more and len(paths.collect()) == 10
+    every, more = graph.all_paths(wide, "1", 32, F.col("node") == "6")
+    assert not more and every.count() == 32
+    with pytest.raises(ValueError, match="unknown target: zz"):
+        graph.known(wide, ["1", "zz"])
     level = {r["name"]: r["level"] for r in graph.levels(e.select("src", "dst")).collect()}
     assert level == {"gen": 0, "core": 1, "render": 2, "text": 2, "core_test": 2, "cli": 3}
     assert graph.cyclic(e).isEmpty()
