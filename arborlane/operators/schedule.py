@@ -44,15 +44,11 @@ def simulate(durations: list[int], needs: list[list[int]], priority: list[int],
         while ready and len(running) < jobs:
             _, i = heapq.heappop(ready)
             heapq.heappush(running, (now + durations[i], i))
-        now, i = heapq.heappop(running)
-        done = [i]
-        while running and running[0][0] == now:
-            done.append(heapq.heappop(running)[1])
-        for i in done:
-            for j in after[i]:
-                waiting[j] -= 1
-                if waiting[j] == 0:
-                    heapq.heappush(ready, (-priority[j], j))
+        now, i = heapq.heappop(running)  # workers are filled again after each completion
+        for j in after[i]:
+            waiting[j] -= 1
+            if waiting[j] == 0:
+                heapq.heappush(ready, (-priority[j], j))
     return now
 
 
@@ -89,6 +85,33 @@ def sweep(actions: DataFrame, strategies: tuple[str, ...], jobs: tuple[int, ...]
     return flat.mapInArrow(run, POINT)
 
 
+def critical_chain(guess: list[int], needs: list[list[int]]) -> list[int]:
+    """The actions that bound a build: of those that need nothing the one of the highest
+    rank, then the highest of those that need it, and so on; of equal ones the last."""
+    rank, after = ranks(guess, needs), defaultdict(list)
+    for i, n in enumerate(needs):
+        for j in set(n):
+            after[j].append(i)
+    out, open_now = [], [i for i, n in enumerate(needs) if not n]
+    while open_now:
+        out.append(max(open_now, key=lambda i: (rank[i], i)))
+        open_now = after[out[-1]]
+    return out
+
+
+def walk(actions: DataFrame) -> DataFrame:
+    """(graph, place, pos): the critical chain of each graph, places from 1. A graph is one
+    build and goes to a task as one row of lists, as in sweep()."""
+    listed = actions.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("pos", "guess", "needs"))).alias("a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = [(g, i, p) for g, d, n in zip(*(x.column(c).to_pylist() for c in ("graph", "guess", "needs"))) for i, p in enumerate(critical_chain(d, n), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["graph", "place", "pos"])
+
+    return listed.select("graph", F.col("a.guess").alias("guess"), F.col("a.needs").alias("needs")).mapInArrow(run, "graph string, place long, pos long")
+
+
 def best(points: DataFrame) -> DataFrame:
     """The point of least makespan, then fewest jobs, then first strategy, of each graph."""
     return points.groupBy("graph").agg(F.min(F.struct("makespan", "jobs", "strategy")).alias("b")).select("graph", "b.strategy", "b.jobs", "b.makespan")

@@ -6,7 +6,7 @@ import importlib
 
 from arborlane.plans import registry
 
-GROUPS = ("graph_queries", "report_queries", "change_queries", "content_queries", "schedule_queries", "text_queries", "stream_queries", "format_queries")
+GROUPS = ("graph_queries", "report_queries", "change_queries", "content_queries", "schedule_queries", "text_queries", "stream_queries", "format_queries", "rule_queries")
 
 for _group in GROUPS:
     importlib.import_module(f"arborlane.plans.{_group}")

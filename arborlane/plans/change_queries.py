@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborlane.operators import change as C
+from arborlane.operators import graph as G
 from arborlane.operators import journal as J
 from arborlane.plans.registry import ACTIONS, EDGES, JOURNAL, SNAPS, query
 from arborlane.sources import domain as D
@@ -145,7 +146,7 @@ DECIDE = f"""with recursive {EDGES},
 
 
 def _decisions(t):
-    e = D.edges(t)
+    e = G.held(D.edges(t))
     names = D.targets(e).select("name")
     own = names.withColumn("state", F.when(F.col("name").like("%7"), "dirty").when(F.col("name").like("s%3"), "failed").otherwise("clean"))
     return C.decided(own, e)

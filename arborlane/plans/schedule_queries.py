@@ -23,7 +23,7 @@ def estimates(t):
     return S.estimates(j.select("id", "kind").distinct(), h, KINDS, 40)
 
 
-def _builds(t):
+def builds(t):
     """Line items of an order as a build: every third one needs the two before it."""
     a = D.actions(t).withColumn("pos", (F.col("pos") - 1).cast("int"))
     needs = F.when((F.col("pos") % 3 == 2), F.array(F.col("pos") - 2, F.col("pos") - 1)).otherwise(F.array().cast("array<int>"))
@@ -32,27 +32,27 @@ def _builds(t):
 
 @query("sched_sim_serial", f"with {ACTIONS} select target as graph, cast(sum(duration) as bigint) as makespan from actions group by target")
 def serial(t):
-    return S.sweep(_builds(t), ("critical",), (1,)).select("graph", "makespan")
+    return S.sweep(builds(t), ("critical",), (1,)).select("graph", "makespan")
 
 
 @query("sched_sim_unbounded", f"with {ACTIONS}, x as (select target, (pos - 1) % 3 as m, (pos - 1) // 3 as g, duration from actions), y as (select target, g, coalesce(max(duration) filter (m < 2), 0) as a, coalesce(max(duration) filter (m = 2), 0) as b from x group by target, g) select target as graph, max(a + b) as makespan from y group by target")
 def unbounded(t):
-    return S.sweep(_builds(t), ("fifo",), (64,)).select("graph", "makespan")
+    return S.sweep(builds(t), ("fifo",), (64,)).select("graph", "makespan")
 
 
 @query("sched_sweep")
 def sweep(t):
-    return S.sweep(_builds(t), ("fifo", "critical", "longest"), (2, 4))
+    return S.sweep(builds(t), ("fifo", "critical", "longest"), (2, 4))
 
 
 @query("sched_best")
 def best(t):
-    return S.best(S.sweep(_builds(t), ("fifo", "critical"), (1, 2, 4)))
+    return S.best(S.sweep(builds(t), ("fifo", "critical"), (1, 2, 4)))
 
 
 @query("sched_over_critical", f"with {ACTIONS}, x as (select target, (pos - 1) % 3 as m, (pos - 1) // 3 as g, duration from actions), y as (select target, g, coalesce(max(duration) filter (m < 2), 0) as a, coalesce(max(duration) filter (m = 2), 0) as b from x group by target, g), c as (select target, max(a + b) as cp from y group by target), w as (select target, sum(duration) as work from actions group by target) select target as graph, round(100.0 * (cast(work as double) - cp) / cp, 4) as over from w join c using (target)")
 def over(t):
-    p = S.sweep(_builds(t), ("critical",), (1,))
+    p = S.sweep(builds(t), ("critical",), (1,))
     return p.select("graph", F.round(100.0 * (F.col("makespan").cast("double") - F.col("critical_path")) / F.col("critical_path"), 4).alias("over"))
 
 
