@@ -1,21 +1,26 @@
 """BPE encoding and decoding with a public tokenizer, long unsplit text by tree concatenation.
 
-White space is dropped by this tokenizer's splitter, and no token, normalization or
-special token reaches across ASCII white space, so a text is the concatenation of its
-words, and a word seen before in the task is looked up.
-
-A word longer than LONG characters is "long unsplit text". It is cut into leaves, which
-are dealt to all tasks and encoded in parallel; then neighbours are joined pairwise,
-level by level of a tree. At a join the text in a window around it is encoded again: if
-the window's encoding has a token of the left part and, after the join, a token of the
-right part (same place, same id), the left part up to the one, the window's tokens and
-the right part from the other make the encoding of both. Otherwise the window grows,
-up to both parts. That is exact: an encoding by merges is valid if and only if each two
-neighbouring tokens are an encoding of their own text, every neighbouring pair of the
-result is a neighbouring pair of one of the three encodings, and from a token that is
-agreed upon the splitter goes on alike, as it looks ahead only.
-
-Strings of special tokens in a text are recognised by the library as such; a long word
+A text of more than LONG characters is long: it is encoded as one run of text, not word
+by word. It is cut into leaves at any place, also within a word; leaves are encoded each
+for itself, then neighbours are joined pairwise, level by level of a tree. At a join the
+text in a window around it is encoded again: if the window's encoding begins with a token
+of the left part and, after the join, has a token of the right part (same place, same
+id), the left part up to the one, the window's tokens and the right part from the other
+make the encoding of both. Otherwise the window grows, up to both parts. That is exact:
+an encoding by merges is valid if and only if each two neighbouring tokens are an
+encoding of their own text, every neighbouring pair of the result is a neighbouring pair
+of one of the three encodings, and from a token that is agreed upon the splitter goes on
+alike, as it has no look at what was before. Tokens that end a word have ids of their
+own, so that a word that goes on over the join is not taken for one that ends there.
+
+A long text's tree is climbed by the task that holds the text. A text of more than SPREAD
+characters is dealt: its leaves go to all tasks, and each level of the tree is a round.
+
+Shorter texts are many, and are the concatenation of their words: this tokenizer's
+splitter drops white space, and no token, normalization or special token reaches across
+ASCII white space. A word seen before in the task is looked up.
+
+Strings of special tokens in a text are recognised by the library as such; a long text
 is first split at them and then normalized, as the library does.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text;
@@ -24,9 +29,9 @@ repeated rows are encoded each; other columns stay; an empty table gives an empt
 
 from __future__ import annotations
 
-import bisect
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,7 +43,9 @@ from tokenizers import Tokenizer
 
 from arborlane.llm.common import checkpointed, give_back, small_batches
 
+#: Characters of a text that is encoded by its tree, and of one whose tree is dealt to all tasks.
 LONG = 20_000
+SPREAD = 65_536
 LEAF = 8_192
 WINDOW = 64
 #: Documents whose words and ids are in a task's memory at a time.
@@ -62,73 +69,77 @@ def load(path: str) -> tuple[Tokenizer, Tokenizer, dict[str, int]]:
     return _loaded[path]
 
 
-def pieces(path: str, word: str) -> list[tuple[int | None, str]]:
-    """A word as special tokens (id, "") and normalized text (None, text)."""
+def pieces(path: str, text: str) -> list[tuple[int | None, str]]:
+    """A text as special tokens (id, "") and normalized text (None, text)."""
     whole, _, special = load(path)
-    out, at = [], 0
-    while at < len(word):
-        hit = min(((word.find(s, at), s) for s in special if word.find(s, at) >= 0), default=(len(word), ""))
-        if hit[0] > at:
-            out.append((None, whole.normalizer.normalize_str(word[at : hit[0]]) if whole.normalizer else word[at : hit[0]]))
-        if hit[1]:
-            out.append((special[hit[1]], ""))
-        at = hit[0] + len(hit[1])
-    return out
+    found = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+    normal = whole.normalizer.normalize_str if whole.normalizer else str
+    return [(special[t], "") if k % 2 else (None, normal(t)) for k, t in enumerate(found) if t]
 
 
 class Coded:
-    """Text with its tokens: ids, and the ends of their places."""
+    """Text with its tokens: ids, and where each begins and ends."""
 
-    def __init__(self, text: str, ids: np.ndarray, ends: np.ndarray):
-        self.text, self.ids, self.ends = text, ids, ends
+    def __init__(self, text: str, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+        self.text, self.ids, self.begins, self.ends = text, ids, begins, ends
+
+
+def _of(text: str, e) -> Coded:
+    at = np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(e)).reshape(-1, 2)
+    return Coded(text, np.array(e.ids, np.int32), at[:, 0], at[:, 1])
 
 
 def encode_bare(path: str, text: str) -> Coded:
-    e = load(path)[1].encode(text, add_special_tokens=False)
-    return Coded(text, np.array(e.ids, np.int32), np.array([b for _, b in e.offsets], np.int64))
+    return _of(text, load(path)[1].encode(text, add_special_tokens=False))
 
 
 def joined(path: str, a: Coded, b: Coded, window: int = WINDOW) -> Coded:
-    """The encoding of both texts. Places in unsplit text have no gaps, so a token's
-    place is its end and the end before it."""
-    if not len(a.ids) or not len(b.ids):
-        return encode_bare(path, a.text + b.text)
+    """The encoding of both texts."""
     text, cut = a.text + b.text, len(a.text)
-    ends_b = b.ends + cut
+    if not len(a.ids) or not len(b.ids):
+        return encode_bare(path, text)
     while True:
-        i = bisect.bisect_left(a.ends, cut - window)  # the window starts at the start of token i of a
-        start = int(a.ends[i - 1]) if i > 0 else 0
+        i = int(np.searchsorted(a.ends, cut - window))  # the window starts with token i of a
+        start = int(a.begins[i]) if 0 < i < len(a.ids) else 0
+        i = i if start else 0
         stop = min(len(text), cut + window)
         w = encode_bare(path, text[start:stop])
-        ends = w.ends + start
         if start == 0 and stop == len(text):
-            return Coded(text, w.ids, ends)
-        head = start == 0 or (len(w.ids) and i < len(a.ids) and w.ids[0] == a.ids[i] and ends[0] == a.ends[i] and a.ends[i] <= cut)
+            return Coded(text, w.ids, w.begins, w.ends)
+        begins, ends = w.begins + start, w.ends + start
+        head = start == 0 or (len(w.ids) > 0 and w.ids[0] == a.ids[i] and begins[0] == start and ends[0] == a.ends[i] and ends[0] <= cut)
         if head:
-            if stop == len(text):
-                return Coded(text, np.concatenate((a.ids[:i], w.ids)), np.concatenate((a.ends[:i], ends)))
-            begins = np.concatenate(([start], ends[:-1]))
-            begins_b = np.concatenate(([cut], ends_b[:-1]))
-            for k in range(len(w.ids) - 2, -1, -1):  # the last token may feel the window's end
-                if begins[k] < cut:
-                    break
-                j = int(np.searchsorted(ends_b, ends[k]))
-                if j < len(b.ids) and ends_b[j] == ends[k] and begins_b[j] == begins[k] and b.ids[j] == w.ids[k] and j > 0:
-                    return Coded(text, np.concatenate((a.ids[:i], w.ids[: k + 1], b.ids[j + 1 :])), np.concatenate((a.ends[:i], ends[: k + 1], ends_b[j + 1 :])))
+            k, j = (len(w.ids) - 1, len(b.ids) - 1) if stop == len(text) else _agreed(w.ids, begins, ends, b, cut)
+            if j >= 0:
+                parts = zip((a.ids[:i], a.begins[:i], a.ends[:i]), (w.ids, begins, ends), (b.ids, b.begins + cut, b.ends + cut))
+                return Coded(text, *[np.concatenate((x, y[: k + 1], z[j + 1 :])) for x, y, z in parts])
         window *= 2
 
 
-def _gapless(path: str, text: str) -> bool:
-    """Whether all of the text is in tokens: only odd white space is dropped."""
-    return not any(c.isspace() for c in text)
+def _agreed(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, b: Coded, cut: int) -> tuple[int, int]:
+    """The last token but one or earlier of a window that is also one of b, not its first:
+    its number in the window and in b, or -1 twice."""
+    for k in range(len(ids) - 2, -1, -1):  # the last token may feel the window's end
+        if begins[k] < cut:
+            break
+        j = int(np.searchsorted(b.ends, ends[k] - cut))
+        if 0 < j < len(b.ids) and b.ends[j] == ends[k] - cut and b.begins[j] == begins[k] - cut and b.ids[j] == ids[k]:
+            return k, j
+    return -1, -1
 
 
 def encode_tree(path: str, text: str, leaf: int = LEAF) -> Coded:
-    """Encoding of one text by halves, in one task; what the parallel form does over many."""
-    if len(text) <= leaf:
-        return encode_bare(path, text)
-    half = len(text) // 2
-    return joined(path, encode_tree(path, text[:half], leaf), encode_tree(path, text[half:], leaf))
+    """Encoding of a normalized text by its leaves, joined level by level."""
+    parts = [text[i : i + leaf] for i in range(0, len(text), leaf)] or [""]
+    level = [_of(t, e) for t, e in zip(parts, load(path)[1].encode_batch(parts, add_special_tokens=False))]
+    while len(level) > 1:
+        level = [joined(path, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0]
+
+
+def encode_long(path: str, text: str, leaf: int = LEAF) -> list[int]:
+    """Ids of a long text, in one task."""
+    return list(chain.from_iterable([special] if special is not None else encode_tree(path, t, leaf).ids.tolist() for special, t in pieces(path, text)))
 
 
 class Words:
@@ -154,14 +165,6 @@ class Words:
         return [list(chain.from_iterable(map(young.__getitem__, words))) for words in texts]
 
 
-def _words(text: str | None) -> list[str]:
-    """Words at ASCII white space only, as bytes.split() has it (str.split() knows more)."""
-    return [w.decode() for w in text.encode().split()] if text else []
-
-
-SHORT = "ids array<int>, decoded string"
-
-
 _strings: dict[str, list[str] | None] = {}
 
 
@@ -175,20 +178,19 @@ def decode(path: str, ids: list[int]) -> str:
     return whole.decode(ids, skip_special_tokens=False) if strings is None else " ".join(map(strings.__getitem__, ids))
 
 
-def _short(path: str, long: int, names: list[str]):
-    """Rows with ids and decoded added; where some word is long, both are null."""
+def _in_task(path: str, long: int, leaf: int, names: list[str]):
+    """Rows with ids and decoded added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(path)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 x = whole.slice(at, SLICE)
-                texts = [t.encode().split() if t else [] for t in x.column("__text").to_pylist()]
-                easy = [not any(len(v) > long and len(v.decode()) > long for v in w) if max(map(len, w), default=0) > long else True for w in texts]
-                ids = known.encode([w if ok else [] for w, ok in zip(texts, easy)])
-                out = [decode(path, i) for i in ids]
+                texts = [t or "" for t in x.column("__text").to_pylist()]
+                ids = known.encode([[] if len(t) > long else t.encode().split() for t in texts])
+                ids = [encode_long(path, t, leaf) if len(t) > long else i for t, i in zip(texts, ids)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[x.column(n) for n in names], pa.array([i if ok else None for i, ok in zip(ids, easy)], pa.list_(pa.int32())), pa.array([t if ok else None for t, ok in zip(out, easy)], pa.string())],
+                    [*[x.column(n) for n in names], pa.array(ids, pa.list_(pa.int32())), pa.array([decode(path, i) for i in ids], pa.string())],
                     [*names, "ids", "decoded"])
         del known
         give_back()
@@ -196,40 +198,29 @@ def _short(path: str, long: int, names: list[str]):
     return run
 
 
-def _leaves(path: str, long: int, leaf: int):
-    """Parts of the texts that have a long word: runs of other words, special tokens, leaves."""
-    fields = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("node", pa.int32()), ("special", pa.int32()), ("part", pa.string()), ("bare", pa.bool_())])
+def _leaves(path: str, leaf: int):
+    """Special tokens and leaves of texts that are dealt."""
+    fields = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("node", pa.int32()), ("special", pa.int32()), ("part", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for row, text in zip(x.column("__row").to_pylist(), x.column("__text").to_pylist()):
-                out, place, run_of = [], 0, []
-                for w in [*_words(text), None]:
-                    if w is not None and len(w) <= long:
-                        run_of.append(w)
-                        continue
-                    if run_of:
-                        out.append((row, place, 0, None, " ".join(run_of), False))
-                        place, run_of = place + 1, []
-                    for special, part in pieces(path, w) if w is not None else []:
-                        if special is not None:
-                            out.append((row, place, 0, special, "", True))
-                        elif not _gapless(path, part):
-                            out.append((row, place, 0, None, part, True))  # odd white space: encoded whole
-                        else:
-                            out.extend((row, place, k, None, part[i : i + leaf], True) for k, i in enumerate(range(0, len(part), leaf)))
-                        place += 1
+                out = []
+                for place, (special, part) in enumerate(pieces(path, text)):
+                    starts = [0] if special is not None else range(0, max(1, len(part)), leaf)
+                    out.extend((row, place, k, special, part[i : i + leaf]) for k, i in enumerate(starts))
                 yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r)) for r in out], fields)
 
     return run
 
 
-CODED = "row long, place int, node int, text string, ids binary, ends binary"
+CODED = "row long, place int, node int, text string, ids binary, begins binary, ends binary"
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [("row", pa.int64()), ("place", pa.int32()), ("node", pa.int32()), ("text", pa.string()), ("ids", pa.binary()), ("ends", pa.binary())]
-    cols = list(zip(*rows)) if rows else [[]] * len(kinds)
+def _table(rows: list[tuple[int, int, int, Coded]]) -> pa.Table:
+    kinds = [("row", pa.int64()), ("place", pa.int32()), ("node", pa.int32()), ("text", pa.string()), *[(n, pa.binary()) for n in ("ids", "begins", "ends")]]
+    whole = [(*at, c.text, *[np.ascontiguousarray(v, np.int32).tobytes() for v in (c.ids, c.begins, c.ends)]) for *at, c in rows]
+    cols = list(zip(*whole)) if whole else [[]] * len(kinds)
     return pa.Table.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds)], [n for n, _ in kinds])
 
 
@@ -239,19 +230,17 @@ def _encode_leaves(path: str):
             rows = []
             for r in x.to_pylist():
                 if r["special"] is not None:
-                    c = Coded("", np.array([r["special"]], np.int32), np.zeros(1, np.int64))
-                elif r["bare"]:
-                    c = encode_bare(path, r["part"])
+                    c = Coded("", np.array([r["special"]], np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32))
                 else:
-                    c = Coded("", np.array(load(path)[0].encode(r["part"], add_special_tokens=False).ids, np.int32), np.zeros(0, np.int64))
-                rows.append((r["row"], r["place"], r["node"], c.text, c.ids.tobytes(), c.ends.tobytes()))
+                    c = encode_bare(path, r["part"])
+                rows.append((r["row"], r["place"], r["node"], c))
             yield from _table(rows).to_batches()
 
     return run
 
 
 def _coded(r: dict) -> Coded:
-    return Coded(r["text"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["ends"], np.int64))
+    return Coded(r["text"], *[np.frombuffer(r[n], np.int32) for n in ("ids", "begins", "ends")])
 
 
 def _join_two(path: str):
@@ -263,7 +252,7 @@ def _join_two(path: str):
             c = joined(path, _coded(rows[0]), _coded(rows[1]))
         else:
             c = _coded(rows[0])
-        return _table([(rows[0]["row"], rows[0]["place"], rows[0]["node"] // 2, c.text, c.ids.tobytes(), c.ends.tobytes())])
+        return _table([(rows[0]["row"], rows[0]["place"], rows[0]["node"] // 2, c)])
 
     return run
 
@@ -277,7 +266,7 @@ def _gather(path: str):
     return run
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, long: int = LONG, leaf: int = LEAF) -> DataFrame:
+def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, long: int = LONG, spread: int = SPREAD, leaf: int = LEAF) -> DataFrame:
     """The columns keep of docs (default: all), with ids array<int> and decoded string,
     which take the place of columns of these names."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
@@ -286,13 +275,13 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     work = [f"__c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(w) for c, w in zip(keep, work)], F.col(text).alias("__text"))
     ddl = ", ".join(f"{w} {f.dataType.simpleString()}" for w, f in zip(work, fields))
-    has_long = (F.length(F.coalesce("__text", F.lit(""))) > long) & F.regexp_like(F.coalesce("__text", F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{{long + 1}}}"))
     back = [F.col(w).alias(c) for c, w in zip(keep, work)]
-    hard = checkpointed(rows.filter(has_long).withColumn("__row", F.monotonically_increasing_id()))
-    if hard.isEmpty():
-        return rows.mapInArrow(_short(path, long, work), f"{ddl}, {SHORT}").select(*back, "ids", "decoded")
-    easy = rows.filter(~has_long).mapInArrow(_short(path, long, work), f"{ddl}, {SHORT}")
-    leaves = hard.select("__row", "__text").mapInArrow(_leaves(path, long, leaf), "row long, place int, node int, special int, part string, bare boolean")
+    is_spread = F.length(F.coalesce("__text", F.lit(""))) > spread
+    spread_rows = checkpointed(rows.filter(is_spread).withColumn("__row", F.monotonically_increasing_id()))
+    in_task = rows.filter(~is_spread).mapInArrow(_in_task(path, long, leaf, work), f"{ddl}, ids array<int>, decoded string")
+    if spread_rows.isEmpty():
+        return in_task.select(*back, "ids", "decoded")
+    leaves = spread_rows.select("__row", "__text").mapInArrow(_leaves(path, leaf), "row long, place int, node int, special int, part string")
     leaves = checkpointed(leaves)
     most = leaves.agg(F.max("node")).first()[0] or 0
     level = checkpointed(leaves.repartition("row", "place", "node").mapInArrow(_encode_leaves(path), CODED))
@@ -300,7 +289,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
         level = level.groupBy("row", "place", F.floor(F.col("node") / 2).alias("up")).applyInArrow(_join_two(path), CODED)
         most //= 2
     done = level.groupBy("row").applyInArrow(_gather(path), "__row long, ids array<int>, decoded string")
-    return easy.select(*work, "ids", "decoded").unionByName(hard.join(done, "__row").select(*work, "ids", "decoded")).select(*back, "ids", "decoded")
+    return in_task.select(*work, "ids", "decoded").unionByName(spread_rows.join(done, "__row").select(*work, "ids", "decoded")).select(*back, "ids", "decoded")
 
 
 def vocabulary() -> str:

@@ -311,11 +311,12 @@ def _library():
 
 def test_bpe(docs, clashing, none, spark):
     t = _library()
-    odd = [(10_000, "x" * 25_000 + " b <|endoftext|>c " + "abcde!?'s" * 3_000), (10_001, "Z<|startoftext|>" * 2_000 + "İ"), (10_002, "A b\x1cd H\u0331 e\u0301"), (10_003, "don't" * 6_000 + "\u00a0q")]
+    odd = [(10_000, "x" * 25_000 + " b <|endoftext|>c " + "abcde!?'s" * 3_000), (10_001, "Z<|startoftext|>" * 2_000 + "İ"), (10_002, "A b\x1cd H\u0331 e\u0301"), (10_003, "don't" * 6_000 + "\u00a0q"), (10_004, "the cat's  1é <|endoftext|>\n" * 700), (10_005, " " * 9_000)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
-    got = bpe.encoded(df, bpe.vocabulary(), long=5_000, leaf=700).collect()
-    assert len(got) == len(ROWS) + len(odd)
-    for r in got:
+    whole = bpe.encoded(df, bpe.vocabulary(), long=500, leaf=70).collect()
+    dealt = bpe.encoded(df, bpe.vocabulary(), long=500, spread=5_000, leaf=700).collect()
+    assert len(whole) == len(dealt) == len(ROWS) + len(odd)
+    for r in whole + dealt:
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         assert list(r["ids"]) == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
     same = bpe.encoded(clashing, bpe.vocabulary())
@@ -332,6 +333,17 @@ def test_bpe_joins():
         assert bpe.encode_tree(path, text, rnd.choice([3, 17, 40])).ids.tolist() == bpe.load(path)[1].encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_long_texts():
+    """Texts with white space, marks and special tokens, cut at any place, against the library."""
+    path, rnd, t = bpe.vocabulary(), random.Random(2), _library()
+    for _ in range(600):
+        letters = rnd.choice(["a'streldm!?. ", "abé1!中é ", "the cat's ", "İ\u0301a '  b", "🙂\u200d🙂ab'll ", "Σσς! \x1c\u00a0"])
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 300)))
+        text = text.replace("a", "<|endoftext|>") if rnd.random() < 0.2 else text
+        assert bpe.encode_long(path, text, rnd.choice([1, 2, 7, 17, 40])) == t.encode(text, add_special_tokens=False).ids
+    assert bpe.encode_long(path, " " * 100, 7) == []
+
+
 # 6 ------------------------------------------------------------------------------------
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
