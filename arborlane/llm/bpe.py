@@ -18,7 +18,8 @@ characters is dealt: its leaves go to all tasks, and each level of the tree is a
 
 Shorter texts are many, and are the concatenation of their words: this tokenizer's
 splitter drops white space, and no token, normalization or special token reaches across
-ASCII white space. A word seen before in the task is looked up.
+ASCII white space. A word seen before in the task is looked up, in leaves as well, where
+a word is what stands between the blanks that normalization leaves.
 
 Strings of special tokens in a text are recognised by the library as such; a long text
 is first split at them and then normalized, as the library does.
@@ -32,7 +33,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -50,8 +51,8 @@ LEAF = 8_192
 WINDOW = 64
 #: Documents whose words and ids are in a task's memory at a time.
 SLICE = 64
-#: Words in a generation of a task's memory of words.
-REMEMBER = 250_000
+#: Characters of the words in a generation of a task's memory of words.
+REMEMBER = 2_000_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -128,41 +129,68 @@ def _agreed(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, b: Coded, cut
     return -1, -1
 
 
-def encode_tree(path: str, text: str, leaf: int = LEAF) -> Coded:
-    """Encoding of a normalized text by its leaves, joined level by level."""
-    parts = [text[i : i + leaf] for i in range(0, len(text), leaf)] or [""]
-    level = [_of(t, e) for t, e in zip(parts, load(path)[1].encode_batch(parts, add_special_tokens=False))]
-    while len(level) > 1:
-        level = [joined(path, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
-
-
-def encode_long(path: str, text: str, leaf: int = LEAF) -> list[int]:
-    """Ids of a long text, in one task."""
-    return list(chain.from_iterable([special] if special is not None else encode_tree(path, t, leaf).ids.tolist() for special, t in pieces(path, text)))
+class Memory:
+    """What words were encoded as, in two generations: words met again move to the young
+    one, which becomes the old one when it is full."""
 
+    def __init__(self, code: Callable[[list], Iterable]):
+        self.code, self.young, self.old, self.size = code, {}, {}, 0
 
-class Words:
-    """Encodings of words, remembered in two generations: words met again move to the
-    young one, which becomes the old one when it is full."""
-
-    def __init__(self, path: str):
-        self.path, self.young, self.old = path, {}, {}
-        self.numbers = list(range(load(path)[0].get_vocab_size()))
-
-    def encode(self, texts: list[list[bytes]]) -> list[list[int]]:
-        if len(self.young) > REMEMBER:
-            self.young, self.old = {}, self.young
+    def of(self, words: Iterable) -> dict:
+        """A dictionary that has all of the words."""
+        if self.size > REMEMBER:
+            self.young, self.old, self.size = {}, self.young, 0
         young, old = self.young, self.old
         new = []
-        for w in {w for words in texts for w in words if w not in young}:
+        for w in {w for w in words if w not in young}:
+            self.size += len(w)
             if w in old:
                 young[w] = old[w]
             else:
                 new.append(w)
-        for w, e in zip(new, load(self.path)[0].encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            young[w] = tuple(map(self.numbers.__getitem__, e.ids))  # one object for each id
-        return [list(chain.from_iterable(map(young.__getitem__, words))) for words in texts]
+        for w, e in zip(new, self.code(new)):
+            young[w] = e
+        return young
+
+
+def word_ids(path: str) -> Memory:
+    """Ids of words, given as bytes."""
+    whole = load(path)[0]
+    numbers = list(range(whole.get_vocab_size()))  # one object for each id
+    return Memory(lambda words: (tuple(map(numbers.__getitem__, e.ids)) for e in whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)))
+
+
+def word_places(path: str) -> Memory:
+    """Ids of normalized words, and where each begins and ends."""
+    bare = load(path)[1]
+    return Memory(lambda words: ((tuple(e.ids), tuple(chain.from_iterable(e.offsets))) for e in bare.encode_batch(words, add_special_tokens=False)))
+
+
+def encode_leaf(places: Memory, text: str) -> Coded:
+    """As encode_bare, through words. Other white space than blanks does not divide here:
+    the encoder sees to it."""
+    words = text.split(" ")
+    known = places.of(words)
+    coded = [known[w] for w in words]
+    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    counts = [len(ids) for ids, _ in coded]
+    at = np.fromiter(chain.from_iterable(p for _, p in coded), np.int32, 2 * sum(counts)).reshape(-1, 2) + np.repeat(starts, counts).astype(np.int32)[:, None]
+    return Coded(text, np.fromiter(chain.from_iterable(ids for ids, _ in coded), np.int32, sum(counts)), at[:, 0], at[:, 1])
+
+
+def encode_tree(path: str, text: str, leaf: int = LEAF, places: Memory | None = None) -> Coded:
+    """Encoding of a normalized text by its leaves, joined level by level."""
+    places = places or word_places(path)
+    level = [encode_leaf(places, text[i : i + leaf]) for i in range(0, max(1, len(text)), leaf)]
+    while len(level) > 1:
+        level = [joined(path, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0]
+
+
+def encode_long(path: str, text: str, leaf: int = LEAF, places: Memory | None = None) -> list[int]:
+    """Ids of a long text, in one task."""
+    places = places or word_places(path)
+    return list(chain.from_iterable([special] if special is not None else encode_tree(path, t, leaf, places).ids.tolist() for special, t in pieces(path, text)))
 
 
 _strings: dict[str, list[str] | None] = {}
@@ -182,17 +210,18 @@ def _in_task(path: str, long: int, leaf: int, names: list[str]):
     """Rows with ids and decoded added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(path)
+        ids_of, places = word_ids(path), word_places(path)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 x = whole.slice(at, SLICE)
                 texts = [t or "" for t in x.column("__text").to_pylist()]
-                ids = known.encode([[] if len(t) > long else t.encode().split() for t in texts])
-                ids = [encode_long(path, t, leaf) if len(t) > long else i for t, i in zip(texts, ids)]
+                words = [[] if len(t) > long else t.encode().split() for t in texts]
+                known = ids_of.of(chain.from_iterable(words))
+                ids = [encode_long(path, t, leaf, places) if len(t) > long else list(chain.from_iterable(map(known.__getitem__, w))) for t, w in zip(texts, words)]
                 yield pa.RecordBatch.from_arrays(
                     [*[x.column(n) for n in names], pa.array(ids, pa.list_(pa.int32())), pa.array([decode(path, i) for i in ids], pa.string())],
                     [*names, "ids", "decoded"])
-        del known
+        del ids_of, places
         give_back()
 
     return run
@@ -226,13 +255,14 @@ def _table(rows: list[tuple[int, int, int, Coded]]) -> pa.Table:
 
 def _encode_leaves(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = word_places(path)
         for x in batches:
             rows = []
             for r in x.to_pylist():
                 if r["special"] is not None:
                     c = Coded("", np.array([r["special"]], np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32))
                 else:
-                    c = encode_bare(path, r["part"])
+                    c = encode_leaf(places, r["part"])
                 rows.append((r["row"], r["place"], r["node"], c))
             yield from _table(rows).to_batches()
 
