@@ -161,9 +161,9 @@ def word_ids(path: str) -> Memory:
 
 
 def word_places(path: str) -> Memory:
-    """Ids of normalized words, and where each begins and ends."""
+    """Normalized words as bytes of 32-bit numbers: of each token id, begin and end."""
     bare = load(path)[1]
-    return Memory(lambda words: ((tuple(e.ids), tuple(chain.from_iterable(e.offsets))) for e in bare.encode_batch(words, add_special_tokens=False)))
+    return Memory(lambda words: (np.array([(i, *at) for i, at in zip(e.ids, e.offsets)], np.int32).tobytes() for e in bare.encode_batch(words, add_special_tokens=False)))
 
 
 def encode_leaf(places: Memory, text: str) -> Coded:
@@ -172,10 +172,10 @@ def encode_leaf(places: Memory, text: str) -> Coded:
     words = text.split(" ")
     known = places.of(words)
     coded = [known[w] for w in words]
-    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-    counts = [len(ids) for ids, _ in coded]
-    at = np.fromiter(chain.from_iterable(p for _, p in coded), np.int32, 2 * sum(counts)).reshape(-1, 2) + np.repeat(starts, counts).astype(np.int32)[:, None]
-    return Coded(text, np.fromiter(chain.from_iterable(ids for ids, _ in coded), np.int32, sum(counts)), at[:, 0], at[:, 1])
+    ids, begins, ends = np.frombuffer(b"".join(coded), np.int32).reshape(-1, 3).T
+    after = np.fromiter(map(len, words), np.int32, len(words)) + np.int32(1)
+    first = np.repeat(np.cumsum(after, dtype=np.int32) - after, np.fromiter(map(len, coded), np.int64, len(words)) // 12)
+    return Coded(text, ids, begins + first, ends + first)
 
 
 def encode_tree(path: str, text: str, leaf: int = LEAF, places: Memory | None = None) -> Coded:
