@@ -90,10 +90,10 @@ def fastcdc_ok(t):
     return c.groupBy("doc_id").agg(F.sum("length").alias("total"), F.bool_and(F.col("end") == F.col("offset")).alias("contiguous"), F.bool_and(size).alias("bounded"))
 
 
-@query("sketch", f"with {CHUNKS}, h as (select distinct doc_id, substr(sha256(substr(chunk, 1, 64)), 1, 16) as h from chunks), r as (select *, row_number() over (partition by doc_id order by h) as k from h) select doc_id, h from r where k <= 8")
+@query("sketch", f"with {CHUNKS}, h as (select distinct doc_id, substr(sha256(chunk), 1, 16) as h from chunks), r as (select *, row_number() over (partition by doc_id order by h) as k from h) select doc_id, h from r where k <= 8")
 def sketch(t):
-    c = C.chunks(t.documents, "doc_id", "text", 512).select("doc_id", F.substring("chunk", 1, 64).alias("part"))
-    return C.sketch(c, "doc_id", "part")
+    c = C.chunks(t.documents, "doc_id", "text", 512)
+    return C.sketch(c, "doc_id", "chunk")
 
 
 @query("content_sketch")
@@ -103,14 +103,14 @@ def content_sketch(t):
     return C.sketch(c, "doc_id", "digest")
 
 
-@query("sketch_neighbors", f"""with {CHUNKS}, h as (select distinct doc_id, substr(sha256(substr(chunk, 1, 64)), 1, 16) as h from chunks), r as (select *, row_number() over (partition by doc_id order by h) as k from h), s as (select doc_id, h from r where k <= 8),
+@query("sketch_neighbors", f"""with {CHUNKS}, h as (select distinct doc_id, substr(sha256(chunk), 1, 16) as h from chunks), r as (select *, row_number() over (partition by doc_id order by h) as k from h), s as (select doc_id, h from r where k <= 8),
   first as (select h, min(doc_id) as base from s group by h), v as (select s.doc_id, base, count(*) as shared from s join first using (h) where base <> doc_id group by 1, 2), b as (select *, row_number() over (partition by doc_id order by shared desc, base) as k from v)
   select doc_id, base, cast(shared as bigint) as shared from b where k = 1""")
 def neighbors(t):
     """Each document's best base among the first holders of its features: a hot feature
     votes for one document, not for all pairs of its holders."""
-    c = C.chunks(t.documents, "doc_id", "text", 512).select("doc_id", F.substring("chunk", 1, 64).alias("part"))
-    s = C.sketch(c, "doc_id", "part")
+    c = C.chunks(t.documents, "doc_id", "text", 512)
+    s = C.sketch(c, "doc_id", "chunk")
     v = s.join(s.groupBy("h").agg(F.min("doc_id").alias("base")), "h").filter("base <> doc_id").groupBy("doc_id", "base").agg(F.count("*").alias("shared"))
     best = v.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("base")).alias("m"))).alias("b"))
     return best.select("doc_id", (-F.col("b.m")).alias("base"), F.col("b.shared").alias("shared"))

@@ -24,3 +24,14 @@ def test_content_sketch_reads_whole_texts(spark):
     for r in content_queries.content_sketch(types.SimpleNamespace(documents=docs)).collect():
         got.setdefault(r["doc_id"], set()).add(r["h"])
     assert got[1] == got[3] and got[1] != got[2]
+
+
+def test_sketch_reads_whole_chunks(spark):
+    """As above, for chunks of fixed length."""
+    import types
+
+    from arborlane.plans import content_queries
+
+    docs = spark.createDataFrame([(1, "a" * 511 + "b"), (2, "a" * 511 + "c"), (3, "a" * 511 + "b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["h"] for r in content_queries.sketch(types.SimpleNamespace(documents=docs)).collect()}
+    assert got[1] == got[3] != got[2]
