@@ -52,7 +52,7 @@ WINDOW = 64
 #: Documents whose words and ids are in a task's memory at a time.
 SLICE = 64
 #: Characters of the words in a generation of a task's memory of words.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -209,7 +209,7 @@ def decode(path: str, ids: list[int]) -> str:
 def _in_task(path: str, long: int, leaf: int, names: list[str]):
     """Rows with ids and decoded added."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, places = word_ids(path), word_places(path)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
@@ -221,7 +221,9 @@ def _in_task(path: str, long: int, leaf: int, names: list[str]):
                 yield pa.RecordBatch.from_arrays(
                     [*[x.column(n) for n in names], pa.array(ids, pa.list_(pa.int32())), pa.array([decode(path, i) for i in ids], pa.string())],
                     [*names, "ids", "decoded"])
-        del ids_of, places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)  # whose memories are gone before memory is given back
         give_back()
 
     return run
