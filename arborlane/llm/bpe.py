@@ -18,8 +18,9 @@ characters is dealt: its leaves go to all tasks, and each level of the tree is a
 
 Shorter texts are many, and are the concatenation of their words: this tokenizer's
 splitter drops white space, and no token, normalization or special token reaches across
-ASCII white space. A word seen before in the task is looked up, in leaves as well, where
-a word is what stands between the blanks that normalization leaves.
+ASCII white space. Arrow numbers the words of a batch; each different one is encoded
+once, or looked up if the task has met it before. So it is in leaves, where a word is
+what stands between the blanks that normalization leaves.
 
 Strings of special tokens in a text are recognised by the library as such; a long text
 is first split at them and then normalized, as the library does.
@@ -33,11 +34,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -49,8 +52,6 @@ LONG = 20_000
 SPREAD = 65_536
 LEAF = 8_192
 WINDOW = 64
-#: Documents whose words and ids are in a task's memory at a time.
-SLICE = 64
 #: Characters of the words in a generation of a task's memory of words.
 REMEMBER = 1_000_000
 
@@ -133,16 +134,18 @@ class Memory:
     """What words were encoded as, in two generations: words met again move to the young
     one, which becomes the old one when it is full."""
 
-    def __init__(self, code: Callable[[list], Iterable]):
+    def __init__(self, code: Callable[[list[str]], Iterable[bytes]]):
         self.code, self.young, self.old, self.size = code, {}, {}, 0
 
-    def of(self, words: Iterable) -> dict:
-        """A dictionary that has all of the words."""
+    def of(self, words: list[str]) -> dict[str, bytes]:
+        """A dictionary that has all of the words, which differ."""
         if self.size > REMEMBER:
             self.young, self.old, self.size = {}, self.young, 0
         young, old = self.young, self.old
         new = []
-        for w in {w for w in words if w not in young}:
+        for w in words:
+            if w in young:
+                continue
             self.size += len(w)
             if w in old:
                 young[w] = old[w]
@@ -154,10 +157,9 @@ class Memory:
 
 
 def word_ids(path: str) -> Memory:
-    """Ids of words, given as bytes."""
+    """Words as bytes of 32-bit numbers: the ids of their tokens."""
     whole = load(path)[0]
-    numbers = list(range(whole.get_vocab_size()))  # one object for each id
-    return Memory(lambda words: (tuple(map(numbers.__getitem__, e.ids)) for e in whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)))
+    return Memory(lambda words: (array("i", e.ids).tobytes() for e in whole.encode_batch_fast(words, add_special_tokens=False)))
 
 
 def word_places(path: str) -> Memory:
@@ -166,22 +168,52 @@ def word_places(path: str) -> Memory:
     return Memory(lambda words: (np.array([(i, *at) for i, at in zip(e.ids, e.offsets)], np.int32).tobytes() for e in bare.encode_batch(words, add_special_tokens=False)))
 
 
-def encode_leaf(places: Memory, text: str) -> Coded:
-    """As encode_bare, through words. Other white space than blanks does not divide here:
-    the encoder sees to it."""
-    words = text.split(" ")
-    known = places.of(words)
-    coded = [known[w] for w in words]
-    ids, begins, ends = np.frombuffer(b"".join(coded), np.int32).reshape(-1, 3).T
-    after = np.fromiter(map(len, words), np.int32, len(words)) + np.int32(1)
-    first = np.repeat(np.cumsum(after, dtype=np.int32) - after, np.fromiter(map(len, coded), np.int64, len(words)) // 12)
-    return Coded(text, ids, begins + first, ends + first)
+def looked_up(memory: Memory, words: pa.Array, width: int) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Words numbered by what they are, how many tokens each has, and the tokens of all
+    words in a row, each of width numbers."""
+    numbered = words.dictionary_encode()
+    different = numbered.dictionary.to_pylist()
+    known = memory.of(different)
+    coded = [known[w] for w in different]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // (4 * width)
+    at = numbered.indices.to_numpy()
+    count, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+    take = np.repeat(first - (np.cumsum(count) - count), count)
+    take += np.arange(len(take))
+    return numbered, count, np.frombuffer(b"".join(coded), np.int32).reshape(-1, width)[take]
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values."""
+    return np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+
+
+def encode_leaves(places: Memory, texts: list[str]) -> list[Coded]:
+    """Each text as encode_bare would, through words. Other white space than blanks does
+    not divide here: the encoder sees to it."""
+    split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    cuts = split.offsets.to_numpy()
+    numbered, count, tokens = looked_up(places, split.flatten(), 3)
+    after = pc.utf8_length(numbered.dictionary).to_numpy().astype(np.int64)[numbered.indices.to_numpy()] + 1
+    starts = _sums(after)
+    first = (starts[:-1] - np.repeat(starts[cuts[:-1]], np.diff(cuts))).astype(np.int32)
+    tokens[:, 1:] += np.repeat(first, count)[:, None]
+    bounds = _sums(count)[cuts]
+    return [Coded(t, *np.ascontiguousarray(tokens[i:j].T)) for t, i, j in zip(texts, bounds, bounds[1:])]
+
+
+def encode_words(ids: Memory, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of each text, through words."""
+    split = pc.ascii_split_whitespace(texts)
+    _, count, tokens = looked_up(ids, split.flatten(), 1)
+    bounds = _sums(count)[split.offsets.to_numpy()]
+    return [tokens[i:j, 0] for i, j in zip(bounds, bounds[1:])]
 
 
 def encode_tree(path: str, text: str, leaf: int = LEAF, places: Memory | None = None) -> Coded:
     """Encoding of a normalized text by its leaves, joined level by level."""
     places = places or word_places(path)
-    level = [encode_leaf(places, text[i : i + leaf]) for i in range(0, max(1, len(text)), leaf)]
+    level = encode_leaves(places, [text[i : i + leaf] for i in range(0, max(1, len(text)), leaf)])
     while len(level) > 1:
         level = [joined(path, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
@@ -193,17 +225,24 @@ def encode_long(path: str, text: str, leaf: int = LEAF, places: Memory | None =
     return list(chain.from_iterable([special] if special is not None else encode_tree(path, t, leaf, places).ids.tolist() for special, t in pieces(path, text)))
 
 
-_strings: dict[str, list[str] | None] = {}
+_strings: dict[str, pa.Array | None] = {}
 
 
-def decode(path: str, ids: list[int]) -> str:
-    """As the library's decode(ids, skip_special_tokens=False). Without a decoder that is
-    the tokens' strings joined by spaces; one call for each token would cost more."""
+def decode(path: str, ids: pa.ListArray) -> pa.Array:
+    """Each as the library's decode(ids, skip_special_tokens=False). Without a decoder that
+    is the tokens' strings joined by spaces; one call for each text would cost more."""
     whole = load(path)[0]
     if path not in _strings:
-        _strings[path] = [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size())] if whole.decoder is None else None
+        _strings[path] = pa.array([whole.id_to_token(i) or "" for i in range(whole.get_vocab_size())], pa.string()) if whole.decoder is None else None
     strings = _strings[path]
-    return whole.decode(ids, skip_special_tokens=False) if strings is None else " ".join(map(strings.__getitem__, ids))
+    if strings is None:
+        return pa.array([whole.decode(i, skip_special_tokens=False) for i in ids.to_pylist()], pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, strings.take(ids.values)), " ")
+
+
+def _id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+    return pa.ListArray.from_arrays(pa.array(_sums([len(i) for i in ids]), pa.int32()), pa.array(flat))
 
 
 def _in_task(path: str, long: int, leaf: int, names: list[str]):
@@ -211,16 +250,14 @@ def _in_task(path: str, long: int, leaf: int, names: list[str]):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, places = word_ids(path), word_places(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                x = whole.slice(at, SLICE)
-                texts = [t or "" for t in x.column("__text").to_pylist()]
-                words = [[] if len(t) > long else t.encode().split() for t in texts]
-                known = ids_of.of(chain.from_iterable(words))
-                ids = [encode_long(path, t, leaf, places) if len(t) > long else list(chain.from_iterable(map(known.__getitem__, w))) for t, w in zip(texts, words)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[x.column(n) for n in names], pa.array(ids, pa.list_(pa.int32())), pa.array([decode(path, i) for i in ids], pa.string())],
-                    [*names, "ids", "decoded"])
+        for x in batches:
+            texts = pc.fill_null(x.column("__text"), "")
+            is_long = pc.greater(pc.utf8_length(texts), long)
+            ids = encode_words(ids_of, pc.if_else(is_long, "", texts))
+            for k in np.flatnonzero(is_long.to_numpy(zero_copy_only=False)):
+                ids[k] = np.array(encode_long(path, texts[k].as_py(), leaf, places), np.int32)
+            coded = _id_lists(ids)
+            yield pa.RecordBatch.from_arrays([*[x.column(n) for n in names], coded, decode(path, coded)], [*names, "ids", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)  # whose memories are gone before memory is given back
@@ -264,7 +301,7 @@ def _encode_leaves(path: str):
                 if r["special"] is not None:
                     c = Coded("", np.array([r["special"]], np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32))
                 else:
-                    c = encode_leaf(places, r["part"])
+                    c = encode_leaves(places, [r["part"]])[0]
                 rows.append((r["row"], r["place"], r["node"], c))
             yield from _table(rows).to_batches()
 
@@ -292,8 +329,8 @@ def _join_two(path: str):
 def _gather(path: str):
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["place"])
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int32) for r in rows]).tolist() if rows else []
-        return pa.Table.from_arrays([pa.array([rows[0]["row"]], pa.int64()), pa.array([ids], pa.list_(pa.int32())), pa.array([decode(path, ids)], pa.string())], ["__row", "ids", "decoded"])
+        coded = _id_lists([np.concatenate([np.frombuffer(r["ids"], np.int32) for r in rows])])
+        return pa.Table.from_arrays([pa.array([rows[0]["row"]], pa.int64()), coded, decode(path, coded)], ["__row", "ids", "decoded"])
 
     return run
 
