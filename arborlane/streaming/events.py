@@ -87,18 +87,17 @@ def truncated(spark: SparkSession, events: DataFrame, end: str = "signup") -> Da
 
 
 def numbered(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """A number for each event of a user, in order of arrival: a counter in state."""
-    at = staged(spark, events.orderBy("ts", "event_id").coalesce(1))
+    """A number for each event of a user, in order of arrival: a counter in state. Events of
+    a micro-batch are ordered user by user, so that no order of all events is needed."""
+    at = staged(spark, events)
 
     def count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for x in parts:
-            x = x.sort_values(["ts", "event_id"])
-            yield pd.DataFrame({"user_id": [key[0]] * len(x), "event_id": x["event_id"].tolist(), "seq": list(range(n, n + len(x)))})
-            n += len(x)
-        state.update((n,))
+        x = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        state.update((n + len(x),))
+        yield pd.DataFrame({"user_id": key[0], "event_id": x["event_id"].to_numpy(), "seq": range(n, n + len(x))})
 
-    stream = opened(spark, at).groupBy("user_id").applyInPandasWithState(count, "user_id long, event_id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
+    stream = opened(spark, at).select("user_id", "ts", "event_id").groupBy("user_id").applyInPandasWithState(count, "user_id long, event_id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
     return drained(stream, at, "append").drop("batch")
 
 
