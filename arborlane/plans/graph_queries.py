@@ -66,12 +66,12 @@ def owners(t):
 
 @query("graph_targets", f"with {EDGES}, {TARGETS} select name, kind from targets")
 def targets(t):
-    return D.targets(D.edges(t))
+    return D.all_targets(t)
 
 
 @query("graph_kind_counts", f"with {EDGES}, {TARGETS} select kind, cast(count(*) as bigint) as n from targets group by kind")
 def kinds(t):
-    return D.targets(D.edges(t)).groupBy("kind").agg(F.count("*").alias("n"))
+    return D.all_targets(t).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 PATHS = f"""with recursive {EDGES}, p as (
@@ -130,7 +130,7 @@ def cycles(t):
 @query("graph_unreachable", f"with recursive {EDGES}, {TARGETS}, w as (select name from targets where name like 'o%1' union select dst from edges join w on src = name) select name from targets where name not in (select name from w)")
 def unreachable(t):
     e = _edges(t)
-    names = D.targets(e).select("name")
+    names = D.all_targets(t).select("name")
     return names.join(G.reachable(e, names.filter(F.col("name").like("o%1"))), "name", "left_anti")
 
 
@@ -144,7 +144,7 @@ def induced(t):
 
 @query("graph_label_kind", f"with {EDGES}, {TARGETS} select kind || ' target ' || name as line from targets")
 def label_kind(t):
-    return D.targets(D.edges(t)).select(F.format_string("%s target %s", "kind", "name").alias("line"))
+    return D.all_targets(t).select(F.format_string("%s target %s", "kind", "name").alias("line"))
 
 
 @query("graph_query_json", WALK_DOWN + """ select '{"query":"deps","targets":["' || string_agg(name, '","' order by name) || '"]}' as line from w""")
@@ -205,7 +205,7 @@ def _priority(t, e=None):
     e = e or _edges(t)
     name = F.col("name")
     by_kind = F.create_map(*[F.lit(x) for k in (("o", 10), ("p", 20), ("s", 30), ("c", 5), ("n", 50), ("r", 7)) for x in k])
-    w = D.targets(e).select("name", (by_kind[D.kind(name)] + F.length("name")).cast("long").alias("weight"))
+    w = D.all_targets(t).select("name", (by_kind[D.kind(name)] + F.length("name")).cast("long").alias("weight"))
     return G.longest(e, w)
 
 
@@ -218,7 +218,7 @@ def priority(t):
 def critical(t):
     e = _edges(t)
     by_kind = F.create_map(*[F.lit(x) for k in (("o", 10), ("p", 20), ("s", 30), ("c", 5), ("n", 50), ("r", 7)) for x in k])
-    w = D.targets(e).select((by_kind[D.kind(F.col("name"))] + F.length("name")).cast("long").alias("weight"))
+    w = D.all_targets(t).select((by_kind[D.kind(F.col("name"))] + F.length("name")).cast("long").alias("weight"))
     return _priority(t, e).agg(F.max("priority").alias("critical_path")).crossJoin(F.broadcast(w.agg(F.sum("weight").alias("work"))))
 
 
