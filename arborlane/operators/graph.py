@@ -58,11 +58,49 @@ def reachable(edges: DataFrame, roots: DataFrame, method: str = "rounds") -> Dat
     return seen
 
 
-def closure_sizes(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, size): the number of nodes that edges lead to from each root with an edge.
-    Semi-naive, as in reachable()."""
+#: Nodes of a closure that one row may hold, nodes that the rows of one batch hold in all,
+#: and those that one task gets.
+ROW_SET, BATCH_SETS, TASK_SETS = 1_000_000, 500_000_000, 20_000_000
+
+
+def closure_sizes(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(root, size): the number of nodes that edges lead to from each root (None: node) with
+    an edge. Level by level from the ends, a node's closure is made once, of those that its
+    edges lead to, as an array of the 64-bit hashes of its nodes; it is kept only if an edge
+    leads to the node. So many nodes go at a time that what is shuffled stays bounded.
+    Nodes on or above cycles, or with closures too large for a row, go by pairs."""
     edges = held(edges)
-    step = roots.distinct().join(edges.withColumnRenamed("src", "root"), "root").select("root", F.col("dst").alias("name"))
+    if roots is not None:
+        roots = cut(roots.toDF("name").distinct())
+        edges = held(edges.join(reachable(edges, roots).withColumnRenamed("name", "src"), "src", "left_semi"))
+    none = edges.select(F.col("src").alias("name")).limit(0)
+    done = _peel(edges, none, lambda best: F.coalesce(best + 1, F.lit(0)))[0]
+    needed = edges.select(F.col("dst").alias("src")).distinct().withColumn("needed", F.lit(True))
+    by = cut(edges.join(done.select(F.col("name").alias("src"), "level").join(needed, "src", "left"), "src"))
+    known = cut(done.filter("level = 0").select("name", F.lit(0).alias("size"), F.array().cast("array<long>").alias("set")))
+    for level in range(1, (by.agg(F.max("level")).first()[0] or 0) + 1):
+        mine, so_far = by.filter(F.col("level") == level).select("src", "dst", "needed"), known
+        need = cut(mine.join(so_far.select(F.col("name").alias("dst"), "size"), "dst", "left").groupBy("src").agg(F.sum(F.coalesce("size", F.lit(0)) + 1).alias("need"), F.bool_and(F.col("size").isNotNull()).alias("all")))
+        fits = F.col("all") & (F.col("need") <= ROW_SET)
+        total, left = need.agg(F.sum(F.when(fits, F.col("need"))), F.count_if(~fits)).first()
+        batches = (total or 0) // BATCH_SETS + 1
+        for i in range(batches if total else 0):
+            x = mine.filter(F.pmod(F.xxhash64(F.lit(level), "src"), F.lit(batches)) == i)
+            x = x.join(need.filter(fits).select("src"), "src", "left_semi") if left else x
+            x = x.join(so_far.select(F.col("name").alias("dst"), "set"), "dst").select("src", "needed", F.array_append("set", F.xxhash64("dst")).alias("set"))
+            x = x.repartition(total // batches // TASK_SETS + 1, "src").groupBy("src", "needed").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set"))
+            known = known.union(cut(x.select(F.col("src").alias("name"), F.size("set").alias("size"), F.when(F.col("needed"), F.col("set")).alias("set"))))
+    asked = edges.select(F.col("src").alias("name")).distinct()
+    asked = asked if roots is None else asked.join(roots, "name", "left_semi")
+    sizes = known.filter("size > 0").select("name", F.col("size").cast("long").alias("size"))
+    open_roots = cut(asked.join(sizes, "name", "left_anti"))
+    sizes = (sizes if roots is None else sizes.join(roots, "name", "left_semi")).withColumnRenamed("name", "root")
+    return sizes if open_roots.isEmpty() else sizes.union(_closure_pairs(edges, open_roots.toDF("root")))
+
+
+def _closure_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """As closure_sizes(), of any graph. Semi-naive, as in reachable()."""
+    step = roots.join(edges.withColumnRenamed("src", "root"), "root").select("root", F.col("dst").alias("name"))
     seen = frontier = cut(step.distinct())
     while not frontier.isEmpty():
         step = frontier.join(edges.withColumnRenamed("src", "name"), "name").select("root", F.col("dst").alias("name")).distinct()
@@ -72,7 +110,8 @@ def closure_sizes(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _in_task(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    if edges.limit(TASK_EDGES + 1).count() > TASK_EDGES:
+    edges = held(edges)  # what leaves edges out is done by many tasks, before one reads the rest
+    if edges.count() > TASK_EDGES:
         raise ValueError("too many edges for one task; use method='rounds'")
     rows = edges.select("src", "dst").union(roots.select(F.lit(None).cast("string"), "name"))
 
@@ -128,7 +167,7 @@ def some_path(edges: DataFrame, a: str, b: str) -> list[str]:
     mine = cut(reachable(plain, spark.createDataFrame([(a,)], "name string")).join(useful, "name"))
     kept = edges.join(mine.withColumnRenamed("name", "src"), "src", "left_semi").join(mine.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst", "pos")
     kept = cut(kept)
-    if kept.limit(TASK_EDGES + 1).count() > TASK_EDGES:
+    if kept.count() > TASK_EDGES:
         raise ValueError("too many edges for one task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,25 +198,39 @@ def peeled(edges: DataFrame, own: DataFrame, value: Callable[[Column], Column])
     are done; its value is value(largest of theirs), which may use the columns of own
     (name, ...) and sees null at the ends. A round joins the nodes just done to their edges,
     so each edge is met once. Raises on a cycle."""
+    done, left = _peel(edges, own, value)
+    if not left.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return done
+
+
+def _peel(edges: DataFrame, own: DataFrame, value: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(name, level, value) of the nodes that peeled() can do, and (name, ...) of the others. A
+    round with many nodes deals the edges by their ends and keeps those not met for the next."""
     edges = held(edges)
-    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
-    out = edges.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("__left"))
+    left = edges.count()
+    ends = edges.select(F.col("src").alias("name"), F.lit(1).alias("__n")).union(edges.select("dst", F.lit(0)))
     cols = [c for c in own.columns if c != "name"]
-    state = cut(names.join(own, "name", "left").join(out, "name", "left").select(
-        "name", *cols, F.coalesce("__left", F.lit(0)).alias("__left"), F.lit(None).cast("long").alias("__best")))
+    state = cut(ends.groupBy("name").agg(F.sum("__n").alias("__left")).join(own, "name", "left").select("name", *cols, "__left", F.lit(None).cast("long").alias("__best")))
     done, level = None, 0
     while True:
         now = cut(state.filter("__left = 0").select("name", F.lit(level).cast("long").alias("level"), value(F.col("__best")).cast("long").alias("value")))
-        if now.isEmpty():
-            break
+        n = now.count()
         done = now if done is None else done.union(now)
-        hit = edges.join(now.select(F.col("name").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("name")).agg(F.count("*").alias("__n"), F.max("value").alias("__v"))
-        state = cut(state.filter("__left > 0").join(hit, "name", "left").select(
+        state = state.filter("__left > 0")
+        if not n or not left:
+            return done, state
+        met = now.select(F.col("name").alias("dst"), "value", F.lit(True).alias("__met"))
+        if n <= BROADCAST_NAMES:
+            hit = edges.join(F.broadcast(met), "dst")
+        else:
+            all_edges = cut(edges.join(met, "dst", "left"))
+            hit, edges = all_edges.filter("__met"), all_edges.filter("__met is null").select("src", "dst")
+        hit = cut(hit.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("__n"), F.max("value").alias("__v")))
+        left -= hit.agg(F.sum("__n")).first()[0] or 0
+        state = cut(state.join(_hint(hit, hit.count()), "name", "left").select(
             "name", *cols, (F.col("__left") - F.coalesce("__n", F.lit(0))).alias("__left"), F.greatest("__best", "__v").alias("__best")))
         level += 1
-    if not state.isEmpty():
-        raise ValueError("the graph has a cycle")
-    return now.select("name", "level", "value") if done is None else done
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -192,7 +245,8 @@ def cyclic(edges: DataFrame) -> DataFrame:
     left = cut(edges.select("src", "dst"))
     n = left.count()
     while True:
-        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         m = left.count()
         if m == n:
             return left.select(F.col("src").alias("name")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlane.operators import graph as G
 from arborlane.operators import lowering as L
-from arborlane.plans.lineage import shared_dir
+from arborlane.plans.lineage import cut, shared_dir
 from arborlane.plans.registry import EDGES, JOURNAL, RESULTS, query
 from arborlane.sources import domain as D
 from arborlane.sources import formats as R
@@ -42,10 +42,11 @@ def ninja(t):
 
 @query("import_npm", f"with recursive {EDGES}, w as (select 's1' as name union select dst from edges join w on src = name) select name from w where name <> 's1'")
 def npm(t):
-    e = D.edges(t)
-    names = e.select(F.col("src").alias("name")).union(e.select("dst")).distinct()
-    deps = e.groupBy(F.col("src").alias("name")).agg(F.map_from_arrays(F.collect_list("dst"), F.collect_list(F.lit("*"))).alias("dependencies"))
-    texts = names.join(deps, "name", "left").select(F.to_json(F.struct("name", "dependencies")).alias("text"))
+    """The texts are written once, as the importer reads them twice."""
+    named = D.edges(t).select(F.col("src").alias("name"), "dst").union(D.all_targets(t).select("name", F.lit(None).cast("string")))
+    one = named.groupBy("name").agg(F.collect_list("dst").alias("dsts"))
+    deps = F.when(F.size("dsts") > 0, F.map_from_arrays("dsts", F.transform("dsts", lambda _: F.lit("*"))))
+    texts = cut(one.select(F.to_json(F.struct("name", deps.alias("dependencies"))).alias("text")))
     return G.reachable(R.npm(texts, "text"), t.spark.createDataFrame([("s1",)], "name string")).filter("name <> 's1'")
 
 
@@ -155,12 +156,11 @@ def affected(t):
 
 @query("closure_sizes", f"with recursive {EDGES}, w as (select src as root, dst as name from edges where src like 'c%' or src like 's%' union select root, dst from edges join w on src = name) select root, cast(count(*) as bigint) as size from w group by root")
 def closure_sizes(t):
-    e = D.edges(t)
+    e = G.held(D.edges(t))
     return G.closure_sizes(e, e.filter("src like 'c%' or src like 's%'").select(F.col("src").alias("root")))
 
 
 @query("closure_sizes_all", f"with recursive {EDGES}, w as (select src as root, dst as name from edges union select root, dst from edges join w on src = name) select root, cast(count(*) as bigint) as size from w group by root")
 def closure_sizes_all(t):
     """Of every node with an edge: closure_sizes has the customers and suppliers only."""
-    e = D.edges(t)
-    return G.closure_sizes(e, e.select(F.col("src").alias("root")))
+    return G.closure_sizes(D.edges(t))
