@@ -6,6 +6,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,27 +32,56 @@ def estimates(actions: DataFrame, history: DataFrame, by_kind: dict[str, int], d
 def simulate(durations: list[int], needs: list[list[int]], priority: list[int], jobs: int) -> int:
     """The makespan of list scheduling: of the ready actions the one of highest priority,
     then lowest index, starts on a free worker."""
-    waiting = [len(set(n)) for n in needs]
-    after = defaultdict(list)
+    return _simulate(durations, *_turned(needs), _places(priority), jobs)
+
+
+def _turned(needs: list[list[int]]) -> tuple[list[int], list[list[int]]]:
+    """How many actions each one needs, and those that need it."""
+    after: list[list[int]] = [[] for _ in needs]
+    waiting = []
     for i, n in enumerate(needs):
-        for j in set(n):
+        own = set(n) if len(n) > 1 else n
+        waiting.append(len(own))
+        for j in own:
             after[j].append(i)
-    ready = [(-priority[i], i) for i, w in enumerate(waiting) if w == 0]
-    heapq.heapify(ready)
+    return waiting, after
+
+
+def _places(priority: list[int]) -> list[int]:
+    """Actions in the order in which they start if all are ready."""
+    return sorted(range(len(priority)), key=lambda i: (-priority[i], i))
+
+
+def _simulate(durations: list[int], waiting: list[int], after: list[list[int]], order: list[int], jobs: int) -> int:
+    """simulate() of a graph turned before; what is ready is kept as places in the order."""
+    waiting, place = waiting.copy(), [0] * len(order)
+    for k, i in enumerate(order):
+        place[i] = k
+    ready = [k for k, i in enumerate(order) if not waiting[i]]
     running: list[tuple[int, int]] = []
     now = 0
     while ready or running:
         while ready and len(running) < jobs:
-            _, i = heapq.heappop(ready)
+            i = order[heapq.heappop(ready)]
             heapq.heappush(running, (now + durations[i], i))
         now, i = heapq.heappop(running)  # workers are filled again after each completion
         for j in after[i]:
             waiting[j] -= 1
-            if waiting[j] == 0:
-                heapq.heappush(ready, (-priority[j], j))
+            if not waiting[j]:
+                heapq.heappush(ready, place[j])
     return now
 
 
+def _lists(column: pa.Array) -> list[list]:
+    """A column of lists as Python lists, its values made at once."""
+    if pa.types.is_list(column.type.value_type):
+        values = _lists(column.values)
+    else:
+        values = column.values.to_pylist() if column.values.null_count else column.values.to_numpy(zero_copy_only=False).tolist()
+    at = column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
 def ranks(durations: list[int], needs: list[list[int]]) -> list[int]:
     """Own duration plus the largest rank of those that need it; needs point backwards."""
     out = list(durations)
@@ -73,14 +103,25 @@ def sweep(actions: DataFrame, strategies: tuple[str, ...], jobs: tuple[int, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = []
-            for graph, d, guess, needs in zip(*(x.column(c).to_pylist() for c in ("graph", "duration", "guess", "needs"))):
-                work, path = sum(d), max(ranks(d, needs), default=0)
+            spans, work, path = [], [], []
+            for d, guess, needs in zip(*(_lists(x.column(c)) for c in ("duration", "guess", "needs"))):
+                rank = ranks(d, needs)
+                work.append(sum(d))
+                path.append(max(rank, default=0))
+                # One worker is never idle, and as many as actions never wait for one another.
+                plain = min(d, default=0) >= 0
+                told = {n: work[-1] if n == 1 else path[-1] for n in jobs if plain and (n == 1 or n >= len(d))}
+                turned = _turned(needs) if len(told) < len(set(jobs)) else None
                 for strategy in strategies:
-                    priority = {"fifo": lambda: [0] * len(d), "critical": lambda: ranks(guess, needs), "longest": lambda: guess}[strategy]()
-                    rows.extend((graph, strategy, n, simulate(d, needs, priority, n), work, path) for n in jobs)
-            cols = list(zip(*rows)) if rows else [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], schema=fields)
+                    if turned:
+                        order = _places({"fifo": lambda: [0] * len(d), "critical": lambda: rank if guess == d else ranks(guess, needs), "longest": lambda: guess}[strategy]())
+                    spans.extend(told[n] if n in told else _simulate(d, *turned, order, n) for n in jobs)
+            points, m = len(strategies) * len(jobs), len(work)
+            each = np.repeat(np.arange(m), points)
+            names = pa.array(strategies, pa.string()).take(pa.array(np.tile(np.repeat(np.arange(len(strategies)), len(jobs)), m)))
+            cols = [x.column("graph").take(pa.array(each)), names, pa.array(np.tile(np.array(jobs, np.int32), m * len(strategies))), pa.array(spans, pa.int64()),
+                    pa.array(work, pa.int64()).take(pa.array(each)), pa.array(path, pa.int64()).take(pa.array(each))]
+            yield pa.RecordBatch.from_arrays(cols, schema=fields)
 
     return flat.mapInArrow(run, POINT)
 
@@ -106,7 +147,7 @@ def walk(actions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = [(g, i, p) for g, d, n in zip(*(x.column(c).to_pylist() for c in ("graph", "guess", "needs"))) for i, p in enumerate(critical_chain(d, n), 1)]
+            rows = [(g, i, p) for g, d, n in zip(x.column("graph").to_pylist(), *(_lists(x.column(c)) for c in ("guess", "needs"))) for i, p in enumerate(critical_chain(d, n), 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["graph", "place", "pos"])
 
     return listed.select("graph", F.col("a.guess").alias("guess"), F.col("a.needs").alias("needs")).mapInArrow(run, "graph string, place long, pos long")
