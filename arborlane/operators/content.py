@@ -90,13 +90,17 @@ def boundaries(data: bytes, average: int, gear: np.ndarray, normal: int = 2) ->
     return out
 
 
+#: Rows that Spark hands to Python at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def content_chunks(rows: DataFrame, key: str, text: str, average: int = 256) -> DataFrame:
     """(key, seq, offset, length, digest) of the content-defined chunks of each text."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = gear_table()
-        for x in batches:
+        for x in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             out: dict[str, list] = {"key": [], "seq": [], "offset": [], "length": [], "digest": []}
             for k, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
                 data = (t or "").encode()
@@ -105,6 +109,9 @@ def content_chunks(rows: DataFrame, key: str, text: str, average: int = 256) ->
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("seq", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())]))
 
+    # Few texts at a time: a batch of the usual 10,000 holds as much as its texts are long.
+    conf = rows.sparkSession.conf
+    conf.set(BATCH_ROWS, min(int(conf.get(BATCH_ROWS)) or 256, 256))
     found = rows.select(F.col(key).cast("long"), text).mapInArrow(run, "key long, seq int, offset long, length long, digest string")
     return found.withColumnRenamed("key", key)
 
