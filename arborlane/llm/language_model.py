@@ -37,9 +37,9 @@ FREQUENT = 4_000
 TAILS = 1_500
 ROUNDS = 8
 FOLDS, HELD = 7, 2
-#: Tokens of documents that go through a recursion side by side, and vectors of it that
-#: are kept at a time. Neither changes what is computed.
-GROUP, CELLS = 4_000_000, 500_000
+#: Tokens of documents that a task holds at a time, vectors of a recursion that are kept at
+#: a time, and steps from one scaling of them to the next. None changes what is computed.
+GROUP, CELLS, SPAN = 4_000_000, 100_000, 8
 
 
 def held_out(doc: int | None, folds: int = FOLDS, held: int = HELD) -> bool:
@@ -138,25 +138,42 @@ def side_by_side(kinds: np.ndarray, lens: np.ndarray, use: np.ndarray):
 
 
 def lanes(x: B.Block, kinds: np.ndarray, use: np.ndarray):
-    """Groups of documents side by side."""
-    every = kinds[x.codes] if len(x.codes) else np.zeros(0, np.int64)
-    for part in np.array_split(use, -(-int((x.lens[use] + 1).sum()) // GROUP)) if len(use) else ():
-        yield side_by_side(every, x.lens, part)
+    """A block's documents side by side."""
+    if len(use):
+        yield side_by_side(kinds[x.codes] if len(x.codes) else np.zeros(0, np.int64), x.lens, use)
+
+
+def _stretches(live: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Where each step begins, and the steps in stretches of about CELLS vectors."""
+    steps, at, bounds = len(live), np.concatenate(([0], np.cumsum(live))), [0]
+    while bounds[-1] < steps:
+        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(at, at[bounds[-1]] + CELLS, side="right")) - 1))
+    return at, list(zip(bounds, bounds[1:]))
+
+
+def _first_scaled(step: int, live: list[int]) -> int:
+    """The first sequence whose vector is scaled to a sum of one at a step: those that end
+    with it, and all of them at each SPAN-th step. In between no vector can vanish."""
+    return 0 if (step + 1) % SPAN == 0 or step + 1 == len(live) else live[step + 1]
 
 
 def likelihood(table, live, pi, a, b):
     """Scaled forward recursion: log10 of the probability of each sequence. Vectors are
-    columns, a row for each state."""
-    out = np.zeros(live[0])
-    onward, of = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    at, x = 0, None
-    for n in live.tolist():
-        emit = of.take(table[at : at + n], axis=1)
-        x = emit * pi[:, None] if x is None else np.matmul(onward, x[:, :n]) * emit
-        s = x.sum(0)
-        x *= 1 / s
-        out[:n] += np.log10(s)
-        at += n
+    rows, a column for each state."""
+    out, sums = np.zeros(live[0]), np.ones(len(pi))
+    (at, stretches), live, x = _stretches(live), live.tolist(), None
+    for begin, end in stretches:
+        alpha = b.take(table[at[begin] : at[end]], axis=0)
+        ends = (at[begin : end + 1] - at[begin]).tolist()
+        for t, lo, hi in zip(range(begin, end), ends, ends[1:]):
+            now = alpha[lo:hi]
+            now *= pi if x is None else x[: hi - lo] @ a
+            first = _first_scaled(t, live)
+            if first < hi - lo:
+                s = now[first:] @ sums
+                now[first:] *= (1 / s)[:, None]
+                out[first : hi - lo] += np.log10(s)
+            x = now
     return out
 
 
@@ -164,52 +181,54 @@ def expected(table, live, pi, a, b):
     """Expected counts of starts, transitions and (state, class) emissions, and log10 of the
     likelihood. Only the forward vectors at the bounds of stretches of CELLS are kept; each
     stretch runs again on the way back, so nothing is cut."""
-    steps, width, k = len(live), int(live[0]), len(pi)
-    at = np.concatenate(([0], np.cumsum(live)))
-    onward, of = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    bounds = [0]
-    while bounds[-1] < steps:
-        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(at, at[bounds[-1]] + CELLS, side="right")) - 1))
+    width, k = int(live[0]), len(pi)
+    back, sums = np.ascontiguousarray(a.T), np.ones(k)
+    (at, stretches), live = _stretches(live), live.tolist()
 
     def forward(begin: int, end: int, x):
-        alpha = of.take(table[at[begin] : at[end]], axis=1)
-        scale = np.empty(alpha.shape[1])
+        alpha = b.take(table[at[begin] : at[end]], axis=0)
         ends = (at[begin : end + 1] - at[begin]).tolist()
-        for lo, hi in zip(ends, ends[1:]):
-            now = alpha[:, lo:hi]
-            now *= pi[:, None] if x is None else np.matmul(onward, x[:, : hi - lo])
-            s = now.sum(0, out=scale[lo:hi])
-            now *= 1 / s
+        scale, ll = {}, 0.0
+        for t, lo, hi in zip(range(begin, end), ends, ends[1:]):
+            now = alpha[lo:hi]
+            now *= pi if x is None else x[: hi - lo] @ a
+            first = _first_scaled(t, live)
+            if first < hi - lo:
+                s = now[first:] @ sums
+                ll += float(np.log10(s).sum())
+                scale[t] = first, (1 / s)[:, None]
+                now[first:] *= scale[t][1]
             x = now
-        return alpha, scale, x.copy()
+        return alpha, scale, x.copy(), ll
 
-    stretches, enter, x, ll = list(zip(bounds, bounds[1:])), [], None, 0.0
+    enter, x, ll = [], None, 0.0
     for begin, end in stretches:
         enter.append(x)
-        alpha, scale, x = forward(begin, end, x)
-        ll += float(np.log10(scale).sum())
-    beta = np.ones((k, width))  # the backward vectors, of sequences that end as ones
+        alpha, scale, x, part = forward(begin, end, x)
+        ll += part
+    beta = np.ones((width, k))  # the backward vectors, of sequences that end as ones
     pairs, emitted, y = np.zeros((k, k)), np.zeros((k, b.shape[0])), None
     for (begin, end), x in zip(reversed(stretches), reversed(enter)):
-        if end != steps:
-            alpha, scale, _ = forward(begin, end, x)
-        kinds = table[at[begin] : at[end]]
-        emit = of.take(kinds, axis=1)
-        emit *= 1 / scale
+        if end != len(live):
+            alpha, scale, _, _ = forward(begin, end, x)
+        kinds = table[at[begin] : at[end]].astype(np.int64)
+        emit = b.take(kinds, axis=0)
         ends = (at[begin : end + 1] - at[begin]).tolist()
-        for lo, hi in zip(ends[-2::-1], ends[:0:-1]):
-            now = alpha[:, lo:hi]
+        for t, lo, hi in zip(range(end - 1, begin - 1, -1), ends[-2::-1], ends[:0:-1]):
+            now = alpha[lo:hi]
             if y is not None:  # of the step after
-                m = y.shape[1]
-                pairs += now[:, :m] @ y.T
-                beta[:, :m] = a @ y
-            y = emit[:, lo:hi]
-            y *= beta[:, : hi - lo]
-            now *= beta[:, : hi - lo]
+                pairs += now[: len(y)].T @ y
+                np.matmul(y, back, out=beta[: len(y)])
+            y = emit[lo:hi]
+            if t in scale:
+                first, s = scale[t]
+                y[first:] *= s
+            y *= beta[: hi - lo]
+            now *= beta[: hi - lo]
         y = y.copy()
         for s in range(k):
-            emitted[s] += np.bincount(kinds, alpha[s], b.shape[0])
-    return alpha[:, :width].sum(1), pairs * a, emitted, ll
+            emitted[s] += np.bincount(kinds, alpha[:, s], b.shape[0])
+    return alpha[:width].sum(0), pairs * a, emitted, ll
 
 
 CLASSED = "block long, ids array<long>, lens binary, kinds binary"
@@ -226,40 +245,58 @@ def _classed(model: Model):
     return f
 
 
+def _together(batches):
+    """Blocks of a partition, up to about GROUP tokens at a time: their numbers, their ids,
+    and the classes and lengths of their documents in a row."""
+    numbers, ids, kinds, lens, size = [], [], [], [], 0
+    for x in batches:
+        for block, i, n, k in zip(*(x.column(c).to_pylist() for c in ("block", "ids", "lens", "kinds"))):
+            numbers.append(block), ids.append(i)
+            kinds.append(B.unpacked(k, np.uint16)), lens.append(B.unpacked(n, np.int32))
+            size += len(kinds[-1]) + len(i)
+            if size >= GROUP:
+                yield numbers, ids, np.concatenate(kinds), np.concatenate(lens)
+                numbers, ids, kinds, lens, size = [], [], [], [], 0
+    if size:
+        yield numbers, ids, np.concatenate(kinds), np.concatenate(lens)
+
+
 PART = "part int, counts binary"
 
 
 def _expect(params, folds: int, held: int):
-    """Counts of the training documents of a partition's blocks, GROUP tokens at a time."""
+    """Counts of the training documents of a partition's blocks."""
     pi, a, b = params
 
     def f(batches):
-        out, kinds, lens, use, size = np.zeros(len(pi) * (1 + len(pi) + b.shape[0]) + 1), [], [], [], 0
-
-        def counted():
-            train = np.flatnonzero(np.concatenate(use))
-            if not len(train):
-                return 0.0
-            _, table, live = side_by_side(np.concatenate(kinds), np.concatenate(lens), train)
-            p, q, e, ll = expected(table, live, pi, a, b)
-            return np.concatenate((p, q.ravel(), e.ravel(), [ll]))
-
-        for x in batches:
-            for ids, n, k in zip(*(x.column(c).to_pylist() for c in ("ids", "lens", "kinds"))):
-                kinds.append(B.unpacked(k, np.uint16)), lens.append(B.unpacked(n, np.int32))
-                use.append([not held_out(d, folds, held) for d in ids])
-                size += len(kinds[-1]) + len(ids)
-                if size >= GROUP:
-                    out += counted()
-                    kinds, lens, use, size = [], [], [], 0
-        if size:
-            out += counted()
+        out = np.zeros(len(pi) * (1 + len(pi) + b.shape[0]) + 1)
+        for _, ids, kinds, lens in _together(batches):
+            train = np.flatnonzero([not held_out(d, folds, held) for i in ids for d in i])
+            if len(train):
+                _, table, live = side_by_side(kinds, lens, train)
+                p, q, e, ll = expected(table, live, pi, a, b)
+                out += np.concatenate((p, q.ravel(), e.ravel(), [ll]))
         yield B.batch(PART, [(0, out.tobytes())])
         give_back()
 
     return f
 
 
+def _likelihoods(params):
+    """A row for each block, among the answers to it: its documents' likelihoods."""
+
+    def f(batches):
+        for numbers, ids, kinds, lens in _together(batches):
+            order, table, live = side_by_side(kinds, lens, np.arange(len(lens)))
+            found = np.zeros(len(lens))
+            found[order] = likelihood(table, live, *params)
+            cuts = np.cumsum([len(i) for i in ids])[:-1]
+            yield B.batch(ANSWER, [(n, -1, b"", v.tobytes()) for n, v in zip(numbers, np.split(found, cuts))])
+        give_back()
+
+    return f
+
+
 def _folded(batches):
     """One row of counts for each partition, then for the driver's sum: few rows."""
     total = None
@@ -297,8 +334,7 @@ def _start(model: Model, top: np.ndarray, seed: int = 11):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model: Model, params, folds: int, held: int):
-    pi, a, b = params
+def _score(model: Model, folds: int, held: int):
     n, v = model.total, model.distinct
 
     def f(row: dict, found) -> list[tuple]:
@@ -313,9 +349,7 @@ def _score(model: Model, params, folds: int, held: int):
         of = lambda w: np.add.reduceat(np.append(w[x.codes], 0), x.starts[:-1]) * (x.lens > 0) if len(x.lens) else w
         end = math.log10((model.ends + 1) / (n + v + 1))
         known, base_of, share_of = of((count > 0).astype(np.int64)), of(base) + end, of(share)
-        ll = np.zeros(len(x.ids))
-        for group, table, live in lanes(x, kinds, np.arange(len(x.ids))):
-            ll[group] = likelihood(table, live, pi, a, b)
+        ll = found[1].view(np.float64)
         return [
             (d, held_out(d, folds, held), int(x.lens[i]) + 1, int(known[i]) + int(model.ends > 0), n, float(base_of[i]), float(ll[i] + share_of[i]))
             for i, d in enumerate(x.ids)]
@@ -354,9 +388,10 @@ def scored(docs: DataFrame, folds: int = FOLDS, held: int = HELD, doc_id: str =
     classed = checkpointed(B.each_block(blocks, _classed(model), CLASSED))
     for _ in range(ROUNDS):
         params, _ = _round(classed, model, params, folds, held)
+    ll = checkpointed(classed.mapInArrow(_likelihoods(params), ANSWER))
     del classed
     release(spark)
-    return B.with_answers(blocks, found.filter("block >= 0"), _score(model, params, folds, held), SCORES)
+    return B.with_answers(blocks, found.filter("block >= 0").unionByName(ll), _score(model, folds, held), SCORES)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -106,6 +106,31 @@ def test_training_carries_state(spark, monkeypatch, cells):
     assert abs(out[k + k * k : -1].sum() - x.lens.sum() - len(rows)) < 1e-6
 
 
+def test_scores_of_blocks_side_by_side(monkeypatch):
+    """Scoring takes the documents of all blocks of a task through one recursion, and gives
+    each block its own; vectors between two scalings do not vanish."""
+    rng = np.random.default_rng(3)
+    k = language_model.STATES
+    pi, a, b = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(language_model.TAILS + 1), k).T.copy()
+    b[:20] *= 1e-30
+    lens = [[0, 300, 5], [], [41, 0], [8, 7, 1]]
+    kinds = [rng.integers(0, 40, sum(n)).astype(np.uint16) for n in lens]
+    rows = [(i, [*range(len(n))], blocks.packed(np.array(n, np.int32)), blocks.packed(c)) for i, (n, c) in enumerate(zip(lens, kinds))]
+    calls, real = [], language_model.likelihood
+    monkeypatch.setattr(language_model, "likelihood", lambda *x: (calls.append(1), real(*x))[1])
+    parts = list(language_model._likelihoods((pi, a, b))([blocks.batch(language_model.CLASSED, [r]) for r in rows]))
+    got = {r["block"]: np.frombuffer(r["low"]) for p in parts for r in p.to_pylist()}
+    assert len(calls) == 1
+    for i, (n, c) in enumerate(zip(lens, kinds)):
+        assert len(got[i]) == len(n)
+        for j, size in enumerate(n):
+            at, x, want = sum(n[:j]), None, 0.0
+            for t in [*c[at : at + size], language_model.TAILS]:
+                x = (pi if x is None else x @ a) * b[t]
+                want, x = want + np.log10(x.sum()), x / x.sum()
+            assert abs(got[i][j] - want) < 1e-8
+
+
 def test_every_round_trains_on_all_blocks(spark, monkeypatch):
     rows = [(i, f"w{i} a b c") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
