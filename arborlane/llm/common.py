@@ -83,6 +83,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink_heaps(spark: SparkSession) -> int:
+    """A full collection on each executor, one task each, after which its heap shrinks to a
+    few times what it holds: a heap that has grown leaves Python workers less room. Returns
+    the number of executors; in local mode there are none beside the driver."""
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if executors > 0:
+        spark.range(0, executors, 1, executors).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+    return executors
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **conf):
     """Session settings for the jobs run inside the block, then put back."""

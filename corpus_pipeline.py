@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlane.llm import bpe, exact_dedup, mixing, ngram_join, quality_classifier
-from arborlane.llm.common import shared_dir, table
+from arborlane.llm.common import release, shared_dir, shrink_heaps, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,24 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def rested(stage: Stage) -> Stage:
+    """The stage, begun with what earlier ones held given back, also by executors."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        shrink_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", quality),
-    ("exact_dedup", exact),
-    ("ngram_join", near),
-    ("mixing", mix),
-    ("bpe", encode),
+    ("quality_classifier", rested(quality)),
+    ("exact_dedup", rested(exact)),
+    ("ngram_join", rested(near)),
+    ("mixing", rested(mix)),
+    ("bpe", rested(encode)),
 ]
 
 #: Near duplicates, nearest neighbours and the tokenizer can't be expressed in SQL.

@@ -2,9 +2,12 @@
 
 import importlib.util
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
+from arborlane.llm import common
+
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -29,3 +32,16 @@ def test_stages(spark, sf_dir, pipeline, tmp_path):
     assert n[0] > n[1] > n[2] >= n[3] > 0 and n[4] == n[5]
     whole = pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_begin_rested(spark, pipeline, monkeypatch):
+    """Executors give their heaps back before each stage, and the collection runs in Spark."""
+    calls = []
+    monkeypatch.setattr(pipeline, "shrink_heaps", lambda s: calls.append("shrink"))
+    assert pipeline.rested(lambda s, docs, at: calls.append("stage") or docs)(spark, 7, "") == 7
+    assert calls == ["shrink", "stage"]
+    assert all(stage.__qualname__.startswith("rested") for _, stage in pipeline.STAGES)
+    assert common.shrink_heaps(spark) == 0  # local mode
+    memory = SimpleNamespace(getExecutorMemoryStatus=lambda: SimpleNamespace(size=lambda: 3))
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: memory)), range=spark.range)
+    assert common.shrink_heaps(cluster) == 2
