@@ -13,9 +13,12 @@ their sets is at most 0.2. The join goes through ever smaller regions of the spa
 2. Pivots that are documents. A region is split into the Voronoi cells of some of its
    sets; a set also enters the cells that the triangle inequality leaves open (its
    distance to that pivot is at most 0.4 above that to its own), and the cells are
-   joined recursively. A region too large for one task is first split in this way by
-   Spark itself, then, if it is a tight cluster that no pivot splits, by pairs of
-   parts. Sets that a pivot has linked already are not compared again.
+   joined recursively, as long as that at least halves the pairs: in a tight cluster
+   all windows are open, and every set would enter every cell. A region too large for
+   one task is first split in this way by Spark itself, or, if it is such a cluster, by
+   pairs of parts. What is left of a region is joined set by set: sets outside the
+   largest component look for links through their rarest shingles, of which a linked
+   set can lack only so many, and are compared with the few sets that have enough.
 
 Voronoi cells alone can't start this join: almost all sets are at distance 1 from any
 document that is a pivot, so all windows would be open. That is what step 1 is for.
@@ -51,6 +54,10 @@ REGION_SHINGLES = 3_000_000
 #: Sets of a region that are compared by single pivots instead of being split further.
 LEAF = 200
 PIVOTS = 16
+#: Cells are joined one by one if they have at most this share of the pairs of what they split.
+PAYS = 0.5
+#: Entries of the index that a search may read, beyond those that it must.
+POSTINGS = 20_000
 #: Rounds in which Spark splits large regions by pivots, before it goes to pairs of parts.
 SPLITS = 3
 
@@ -274,48 +281,92 @@ class Region:
     shingles to the sets that have them."""
 
     def __init__(self, names: list[int], sets: list[np.ndarray], central: list[float]):
-        self.names, self.sets, self.central = np.array(names, np.int64), sets, np.array(central)
+        self.names, self.central = np.array(names, np.int64), np.array(central)
         self.n = np.array([len(s) for s in sets], np.int64)
+        self.least = int(self.n.min())
         keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], owner[order]
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        self.owner = owner[order]
+        self.first = np.flatnonzero(new)  # of each shingle's sets in owner
+        self.df = np.diff(np.append(self.first, len(keys)))
+        ids = np.empty(len(keys), np.int32)
+        ids[order] = np.cumsum(new) - 1
+        self.sets = np.split(ids, np.cumsum(self.n)[:-1])  # shingles by their number
+        self.mark = np.zeros(len(self.first), bool)
         self.done = np.zeros(len(sets), bool)  # was a pivot: all its links are known
         self.root = np.arange(len(sets))  # the component of each set, by one of its sets
         self.links: list[tuple[int, int]] = []
 
+    def _having(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that have any of these shingles, and how many."""
+        size = self.df[ids]
+        met = self.owner[np.repeat(self.first[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        if 8 * len(met) < len(self.sets):
+            return np.unique(met, return_counts=True)
+        has = np.bincount(met)
+        met = np.flatnonzero(has)
+        return met, has[met]
+
+    def _link(self, pivot: int, near: np.ndarray) -> None:
+        """Sets that link with a pivot join its component."""
+        for r, i in zip(*np.unique(self.root[near], return_index=True)):
+            if r != self.root[pivot]:
+                self.links.append((int(self.names[near[i]]), int(self.names[pivot])))
+                self.root[self.root == r] = self.root[pivot]
+
     def distances(self, pivot: int) -> np.ndarray:
         """Of a pivot to all sets; what is near joins its component."""
         self.done[pivot] = True
-        p = self.sets[pivot]
-        lo, hi = np.searchsorted(self.keys, p), np.searchsorted(self.keys, p, side="right")
-        size = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        common = np.bincount(self.owner[at], minlength=len(self.sets))
-        union = len(p) + self.n - common
-        near = 100 * common >= 80 * union
-        met = np.unique(self.root[near])
-        if len(met) > 1:
-            for r in met[met != self.root[pivot]].tolist():
-                i = int(np.flatnonzero(near & (self.root == r))[0])
-                self.links.append((int(self.names[i]), int(self.names[pivot])))
-            self.root[np.isin(self.root, met)] = met[0]
+        common = np.zeros(len(self.sets), np.int64)
+        met, has = self._having(self.sets[pivot])
+        common[met] = has
+        union = self.n[pivot] + self.n - common
+        self._link(pivot, np.flatnonzero(100 * common >= 80 * union))
         return 1 - common / union
 
+    def search(self, pivot: int) -> None:
+        """Links a pivot with sets outside its component. Sets of n and m shingles that link
+        have at least 4 (n + m) / 9 in common; so of any k of the pivot's, a linked set
+        has all but n - 4 (n + m) / 9. Looked at are so many of the rarest that each linked
+        set has one, and more while they are cheap; only sets with enough are compared."""
+        self.done[pivot] = True
+        ids = self.sets[pivot]
+        n = len(ids)
+        ids = ids[np.argsort(self.df[ids], kind="stable")]
+        least = -(-4 * (n + max(self.least, -(-4 * n // 5))) // 9)
+        cheap = np.searchsorted(np.cumsum(self.df[ids]), POSTINGS, side="right")
+        k = min(n, max(n - least + 1, int(cheap)))
+        met, has = self._having(ids[:k])
+        needed = k - n - (-4 * (n + self.n[met]) // 9)
+        left = met[(has >= needed) & (self.root[met] != self.root[pivot])]
+        self.mark[ids] = True
+        while len(left):
+            some, left = left[:256], left[256:]
+            common = np.add.reduceat(self.mark[np.concatenate([self.sets[i] for i in some])], np.cumsum(self.n[some]) - self.n[some], dtype=np.int64)
+            self._link(pivot, some[100 * common >= 80 * (n + self.n[some] - common)])
+            left = left[self.root[left] != self.root[pivot]]
+        self.mark[ids] = False
+
     def join(self) -> list[tuple[int, int]]:
-        self._join(np.arange(len(self.sets)), 0)
+        self._join(np.arange(len(self.sets)))
         return self.links
 
-    def _join(self, among: np.ndarray, depth: int) -> None:
-        if len(among) <= LEAF or depth > 8:
+    def _join(self, among: np.ndarray) -> None:
+        if len(among) <= LEAF:
             return self._leaf(among)
         by_centre = among[np.argsort(-self.central[among], kind="stable")]
         step = max(1, len(among) // PIVOTS)
         pivots = np.unique(np.concatenate((by_centre[: PIVOTS // 2], by_centre[step // 2 :: step])))
         d = np.stack([self.distances(int(p))[among] for p in pivots])
-        for cell in cells_of(d):
-            part = among[cell]
-            if len(part) > 1 and len(np.unique(self.root[part])) > 1:
-                self._leaf(part) if len(part) > 0.8 * len(among) else self._join(part, depth + 1)
+        open_in = lambda part: len(part) > 1 and (self.root[part] != self.root[part[0]]).any()
+        parts = [among[cell] for cell in cells_of(d) if open_in(among[cell])]
+        if sum(len(p) ** 2 for p in parts) > PAYS * len(among) ** 2:
+            return self._leaf(among)
+        for part in parts:
+            if open_in(part):
+                self._join(part)
 
     def _leaf(self, among: np.ndarray) -> None:
         """Sets outside one component, the largest at the start, are pivots, the most
@@ -329,7 +380,7 @@ class Region:
             if not len(left):
                 return
             for p in left[:32].tolist():
-                self.distances(p)
+                self.search(p)
 
 
 def cells_of(d: np.ndarray) -> list[np.ndarray]:
@@ -364,16 +415,19 @@ def _place(rows: pa.Table, pivots: pa.Table) -> pa.Table:
         union = len(s) + np.array([len(p) for p in keys]) - common
         near = np.flatnonzero(100 * common >= 80 * union)
         d = (1 - common / union)[:, None]
+        link = names[near[0]] if len(near) else name  # told once
         for cell, members in enumerate(cells_of(d)):
             if len(members):
-                out.append((region, cell, name, float(d[cell, 0]) if cell < len(d) else 1.0, names[near[0]] if len(near) else name))
+                out.append((region, cell, name, float(d[cell, 0]) if cell < len(d) else 1.0, link))
+                link = name
     return B.table(PLACED, out)
 
 
-def _split(rows: DataFrame, large: DataFrame, found: list[DataFrame]) -> DataFrame:
+def _split(rows: DataFrame, large: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Large regions (region, set, n, keys, central) by the cells of their pivots, each
     region dealt over as many tasks as it has REGION_SHINGLES. What a pivot has linked
-    stays only if a set outside may still link with it."""
+    stays only if a set outside may still link with it. Returns the cells, as regions, and,
+    as they are, the regions whose cells would have too many pairs."""
     tasks = large.select("region", F.ceil(F.col("__n") / REGION_SHINGLES).cast("int").alias("tasks"))
     tasks = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
     few = rows.groupBy("region").agg(
@@ -391,7 +445,11 @@ def _split(rows: DataFrame, large: DataFrame, found: list[DataFrame]) -> DataFra
     open_at = F.broadcast(open_at) if open_at.count() <= BROADCAST_ROWS else open_at
     left = placed.join(open_at, ["region", "cell"]).filter(F.col("out").isNotNull() & ((F.col("d") > NEAR) | (F.col("d") >= F.col("out") - NEAR - 1e-9)))
     left = left.select("region", "set", F.xxhash64("region", "cell").alias("next"))
-    return checkpointed(left.join(rows, ["region", "set"]).select(F.col("next").alias("region"), "set", "n", "keys", "central"))
+    pairs = left.groupBy("region", "next").agg(F.count("*").cast("double").alias("c")).groupBy("region").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    tight = checkpointed(pairs.join(large, "region").filter(F.col("pairs") > PAYS * F.col("__c") * F.col("__c")).select("region"))
+    left = left.join(F.broadcast(tight), "region", "left_anti")
+    cells = checkpointed(left.join(rows, ["region", "set"]).select(F.col("next").alias("region"), "set", "n", "keys", "central"))
+    return cells, rows.join(F.broadcast(tight), "region", "left_semi")
 
 
 def _by_parts(rows: DataFrame) -> DataFrame:
@@ -419,7 +477,8 @@ def _links(rows: DataFrame) -> DataFrame:
         leaves.append(small(rows, large))
         rows = rows.join(F.broadcast(large.select("region")), "region", "left_semi")
         if left:
-            rows = _split(rows, large, found)
+            rows, tight = _split(rows, large, found)
+            leaves.append(_by_parts(tight))
         else:
             leaves.append(_by_parts(rows))
     for x in leaves:

@@ -83,6 +83,45 @@ def test_leaf_of_hundreds(seed):
     assert len(sets) > 300 and _same(_linked(region), _roots(sets))
 
 
+def _cluster(n, seed=5):
+    """Near copies of one set with few or many changes: a large component and many sets alone."""
+    rnd = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        s = _window(0, 100)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 5, 8])):
+            at = rnd.randrange(95)
+            s = s - {*range(1000 + at, 1005 + at)} | {rnd.randrange(10_000, 1_000_000) for _ in range(5)}
+        out.add(frozenset(s))
+    return [np.array(sorted(s), np.uint64) for s in sorted(out, key=sorted)]
+
+
+def test_tight_cluster_is_joined_by_few_pivots(monkeypatch):
+    """Sets alone were pivots, each compared with the whole region."""
+    sets, seen = _cluster(600), []
+    monkeypatch.setattr(ngram_join.Region, "distances", lambda self, p, f=ngram_join.Region.distances: (seen.append(p), f(self, p))[1])
+    region = ngram_join.Region(list(range(600)), sets, [float(len(s)) for s in sets])
+    region.join()
+    want = _roots(sets)
+    assert 100 < len(set(want)) < 500
+    assert _same(_linked(region), want) and _same(region.root.tolist(), want)
+    assert len(seen) < 60
+
+
+def test_tight_cluster_is_not_spread(spark, monkeypatch):
+    """A cluster too large for a task entered almost all cells of its pivots, in each split anew."""
+    monkeypatch.setattr(ngram_join, "REGION_SHINGLES", 6_000)
+    most = []
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df, f=ngram_join.checkpointed: (out := f(df), most.append(out.count()))[0])
+    sets = _cluster(200)
+    rows = [(7, i, len(s), s.tobytes(), float(len(s))) for i, s in enumerate(sets)]
+    links = ngram_join._links(spark.createDataFrame(rows, "region long, set long, n int, keys binary, central double")).collect()
+    region = ngram_join.Region(list(range(200)), sets, [0.0] * 200)
+    region.links = [(r.a, r.b) for r in links]
+    assert _same(_linked(region), _roots(sets))
+    assert max(most) <= 200 * 11
+
+
 @pytest.mark.parametrize("cells", [250_000, 70])
 def test_training_carries_state(spark, monkeypatch, cells):
     """Training sees a long document as one chain: its likelihood is that of scoring, and
