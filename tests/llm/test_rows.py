@@ -47,6 +47,35 @@ def test_one_of_each_component(spark):
     assert sorted((r["doc_id"], r["row"]) for r in got) == [(3, 2), (8, 5), (20, 7), (21, 8), (40, 10)]
 
 
+def test_one_of_each_in_a_large_cluster(spark, monkeypatch):
+    """A cluster of texts too large for a task was written to the cells of its pivots again and again."""
+    monkeypatch.setattr(ngram_join, "REGION_SHINGLES", 6_000)
+    most, rnd = [], random.Random(3)
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df, f=ngram_join.checkpointed: (out := f(df), most.append(out.count()))[0])
+    base, rows, plain = [f"w{i}" for i in range(104)], [], []
+    for i in range(200):
+        words = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3, 4, 6])):
+            words[rnd.randrange(104)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        plain.append({tuple(words[j : j + 5]) for j in range(100)})
+    root = list(range(200))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(200):
+        for j in range(i):
+            if 100 * len(plain[i] & plain[j]) >= 80 * len(plain[i] | plain[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == sorted({find(i) for i in range(200)})
+    assert 1 < len(got) < 200 and max(most) <= 200 * 11
+
+
 def test_exact_dedup_keeps_columns(spark):
     """Columns of the operator's own names come back as they were; a row of equal id and
     another text is no copy."""
